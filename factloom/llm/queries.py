@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, survivors, tokenizer
+from factloom.llm import encoding, mixing, survivors, tokenizer
 from factloom.sources.tables import table
 
 
@@ -18,6 +18,14 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return r.select("subject_id", F.to_json("fields").alias("fields"), F.to_json("facts").alias("facts"), "n_fields", "determinant", "trust")
 
 
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.found(table(spark, d, "parts"), table(spark, d, "extracted_facts"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_restored(spark, d).select("record_kind", "record_id").distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
@@ -35,7 +43,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_records": p3_records, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 
 _P3 = r"""
