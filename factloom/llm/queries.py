@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import encoding, mixing, survivors, tokenizer
+from factloom.llm import encoding, mixing, scan_noise, survivors, tokenizer
 from factloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.defects(table(spark, d, "parts"))
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.restored(table(spark, d, "parts"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "data_facts"), table(spark, d, "slot_values")).select("subject_id", "property", "fact_id")
 
@@ -43,7 +51,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 
 _P3 = r"""
@@ -60,5 +68,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY subject_id, property ORDER BY NO
 SELECT subject_id, property, fact_id FROM r WHERE rn = 1 AND n >= 2 AND ok"""
 
 ORACLE = {
-    "p3_found": _P3.replace("{words}", ", ".join("'" + w + "'" for w in dict.fromkeys(survivors.NOTHING))),
+    "p1_found": p1_found, "p1_restored": p1_restored, "p3_found": _P3.replace("{words}", ", ".join("'" + w + "'" for w in dict.fromkeys(survivors.NOTHING))),
 }
