@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import encoding, mixing, scan_noise, survivors, tokenizer
+from factloom.llm import encoding, mixing, names, scan_noise, survivors, tokenizer
 from factloom.sources.tables import table
 
 
@@ -34,6 +34,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_restored(spark, d).select("record_kind", "record_id").distinct()
 
 
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(names.spellings(table(spark, d, "classifications"), table(spark, d, "extracted_facts"), table(spark, d, "logins")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(p5_entities(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
@@ -51,7 +59,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 
 _P3 = r"""
