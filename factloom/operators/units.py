@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.quantities import read
-from factloom.sources.tables import spread
+from factloom.sources.tables import checkpoint
 
 #: Factors by which a row's unstated scale can be off (minor units), with the tolerance of a match in log values.
 UNSTATED_FACTORS = (100.0,)
@@ -105,12 +105,14 @@ def common_units(values: DataFrame, rates: DataFrame) -> DataFrame:
     keep = ["value_id", "subject_id", "slot", "recorded_at", "eur", "unit_common", "is_open"]
     usable = (F.col("eur") > 0) & F.col("subject_id").isNotNull() & F.col("slot").isNotNull()
     usable = F.coalesce(usable, F.lit(False))
-    got = got.select(*keep)
+    # Both are read several times below: written once, or the Python readings would run anew for each.
+    got = checkpoint(got.select(*keep))
     # Only histories with a row of unstated scale can change; by range, so that one large history is cut into many tasks.
     n = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     order = ["subject_id", "slot", "recorded_at", "value_id"]
     schema = "value_id long, subject_id string, slot string, recorded_at timestamp, eur double, unit_common string, is_open boolean, level double"
     lev = got.filter(usable).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(_levels, schema)
+    lev = checkpoint(lev)
     step = F.floor(F.col("level") / F.lit(MATCH))
     anchors = lev.filter(~F.col("is_open")).groupBy("subject_id", "slot", step.alias("cell")).agg(F.collect_set(F.round("level", 6)).alias("at"))
     opened = lev.filter("is_open")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.operators import units
 from factloom.plans.registry import query
-from factloom.sources.tables import table
+from factloom.sources.tables import checkpoint, table
 
 
 @query()
@@ -16,4 +16,4 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.near_pairs(p2_values(spark, d))
+    return units.near_pairs(checkpoint(p2_values(spark, d)))
