@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import encoding, mixing, names, scan_noise, survivors, tokenizer
+from factloom.llm import abuse, encoding, mixing, names, scan_noise, survivors, tokenizer
 from factloom.sources.tables import table
 
 
@@ -58,8 +58,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(mixing.counted(table(spark, d, "documents")), table(spark, d, "mix_targets"))[1]
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.cases(p8_scores(spark, d))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, d))
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 
 _P3 = r"""
