@@ -16,7 +16,7 @@ from factloom.sources.tables import spread
 
 HEADS = ("abusive", "hateful", "sexual")
 #: Feature space, and the most labelled documents a model is fitted on (those of the least hash of their id).
-BITS, MOST_LABELLED = 17, 12_000
+BITS, MOST_LABELLED = 17, 8_000
 #: Labelled cases a feature must come in to have a weight: what a single document holds is its own names and amounts.
 SUPPORT = 2
 #: Out-of-fold probabilities beyond which a label against them counts as wrong and is left out of the last fit.
@@ -173,12 +173,15 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "f": [[features(s) for s in sentences(t)] for t in x["text"]], **{h: x[h] for h in HEADS}})
-
-    got = rows.mapInPandas(build, "doc_id long, f array<array<int>>, " + ", ".join(f"{h} double" for h in HEADS)).orderBy("doc_id").toPandas()
-    keep = [i for i, f in enumerate(got["f"]) if len(f) and any(len(s) for s in f)]
-    docs = [[np.asarray(s, dtype=np.int32) for s in got["f"].iloc[i] if len(s)] for i in keep]
-    return docs, got.iloc[keep][list(HEADS)].to_numpy(dtype=float)
+            fs = [[f for f in (features(s) for s in sentences(t)) if len(f)] for t in x["text"]]
+            sizes = [np.array([len(f) for f in d], dtype=np.int32).tobytes() for d in fs]
+            yield pd.DataFrame({"doc_id": x["doc_id"], "f": [np.concatenate(d).tobytes() if d else b"" for d in fs], "sizes": sizes, **{h: x[h] for h in HEADS}})
+
+    # As bytes, and sorted here: a sort in Spark would run the features twice.
+    got = rows.mapInPandas(build, "doc_id long, f binary, sizes binary, " + ", ".join(f"{h} double" for h in HEADS)).toPandas().sort_values("doc_id")
+    got = got[got["sizes"].map(len) > 0]
+    docs = [np.split(np.frombuffer(f, dtype=np.int32), np.cumsum(np.frombuffer(n, dtype=np.int32))[:-1]) for f, n in zip(got["f"], got["sizes"])]
+    return docs, got[list(HEADS)].to_numpy(dtype=float)
 
 
 def scores(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
