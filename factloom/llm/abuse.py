@@ -22,7 +22,7 @@ SUPPORT = 2
 #: Out-of-fold probabilities beyond which a label against them counts as wrong and is left out of the last fit.
 SURE = 0.1
 #: Range of the threshold, which maximises F1 out of fold.
-THRESHOLDS = tuple(x / 100 for x in range(15, 76, 5))
+THRESHOLDS = tuple(x / 100 for x in range(30, 76, 5))
 #: Longest stretch without a sentence end that is one sentence.
 LONGEST = 600
 
@@ -135,8 +135,8 @@ def document_scores(docs: list[list[np.ndarray]], w: np.ndarray, b: np.ndarray)
 
 
 def train(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, biases and threshold. The last head is any of the others. Two folds score each other; labels that contradict a
-    sure score are taken for wrong and left out; the threshold maximises F1 of the scores out of fold over the labels kept."""
+    """Weights, biases and threshold. The last head is any of the others. Two folds score each other; where
+    they find at least half of the labelled cases, labels that contradict a sure score are taken for wrong and left out; the threshold maximises F1 of the scores out of fold over the labels kept."""
     y = np.column_stack([labels, labels.max(axis=1)])
     if len(docs) < 20 or not 0 < (y[:, -1] >= 0.5).sum() < len(docs):
         return (*fit(docs, y), 0.5)
@@ -146,7 +146,9 @@ def train(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray,
         for side in (odd, ~odd):
             w, b = fit([d for d, o in zip(docs, ~side & keep) if o], y[~side & keep][:, -1:])
             out[side] = document_scores([d for d, o in zip(docs, side) if o], w, b)[:, 0]
-        keep = ~((hit & (out < SURE)) | (~hit & (out > 1 - SURE)))
+        # Scores of a model that misses most labels say nothing about the labels.
+        if (out[hit] >= 0.5).mean() >= 0.5:
+            keep = ~((hit & (out < SURE)) | (~hit & (out > 1 - SURE)))
 
     def f1(t: float) -> float:
         got = out[keep] >= t
