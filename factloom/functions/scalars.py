@@ -113,7 +113,7 @@ def hex_distance(q1: Column, r1: Column, q2: Column, r2: Column) -> Column:
 def quick_note(text: Column) -> Column:
     """Title (first line, at most 60 signs) and body of a note."""
     line = F.substring_index(text, "\n", 1)
-    return F.struct(F.trim(F.substring(line, 1, 60)).alias("title"), F.when(F.contains(text, F.lit("\n")), F.substr(text, F.length(line) + 2)).otherwise("").alias("body"))
+    return F.struct(F.substring(line, 1, 60).alias("title"), F.when(F.contains(text, F.lit("\n")), F.substr(text, F.length(line) + 2)).otherwise("").alias("body"))
 
 
 def url_host(url: Column) -> Column:

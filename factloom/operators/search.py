@@ -29,7 +29,8 @@ def search(docs: DataFrame, id: str, text: str, query: str, limit: int = 30) ->
     if not words:
         return docs.select(F.col(id).alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     t = docs.filter(F.col(text).isNotNull()).select(F.col(id).alias("id"), tokens(F.col(text)).alias("ts"))
-    hits = [F.size(F.filter("ts", lambda x, w=w: x.startswith(w))).alias(f"t{i}") for i, w in enumerate(words)]
+    begins = lambda w: lambda x: F.startswith(x, F.lit(w))
+    hits = [F.size(F.filter("ts", begins(w))).alias(f"t{i}") for i, w in enumerate(words)]
     t = t.select("id", F.size("ts").alias("len"), *hits)
     stats = t.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"t{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(words))])
     every = F.lit(True)
