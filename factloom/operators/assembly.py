@@ -48,27 +48,27 @@ def valid_answer(probabilities: Column, chosen: Column) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
-def batches(rows: DataFrame, id: str, group: str, text: str, most: int = 40, size: int = 20_000) -> DataFrame:
+def batches(rows: DataFrame, id: str, group: str, text: str, most: int = 40, size: int = 20_000, salts: int = 1) -> DataFrame:
     """group, id, batch (from 0), bytes: greedy batches of at most `most` rows and `size` bytes in order of id; one row at least, however
-    long. A group streams through one task in constant memory."""
+    long. A group streams in constant memory through as many tasks as there are salts; batch numbers are then batch * salts + salt."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, k, used, held = None, 0, 0, 0
         for b in it:
             out = []
-            for g, length in zip(b[group], b["bytes"]):
-                if g != now:
-                    now, k, used, held = g, 0, 0, 0
+            for g, salt, length in zip(b[group], b["_salt"], b["bytes"]):
+                if (g, salt) != now:
+                    now, k, used, held = (g, salt), 0, 0, 0
                 elif held and (held >= most or used + length > size):
                     k, used, held = k + 1, 0, 0
                 used, held = used + length, held + 1
-                out.append(k)
+                out.append(k * salts + salt)
             yield b.assign(batch=out)[[group, id, "batch", "bytes"]]
 
-    r = rows.select(group, id, F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("bytes")).filter(F.col(group).isNotNull())
+    r = rows.select(group, id, F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("bytes"), F.pmod(F.xxhash64(id), F.lit(salts)).cast("int").alias("_salt")).filter(F.col(group).isNotNull())
     kind = lambda c: rows.schema[c].dataType.simpleString()
-    return r.repartition(n, group).sortWithinPartitions(group, id).mapInPandas(run, f"`{group}` {kind(group)}, `{id}` {kind(id)}, batch int, bytes long")
+    return r.repartition(n, group, "_salt").sortWithinPartitions(group, "_salt", id).mapInPandas(run, f"`{group}` {kind(group)}, `{id}` {kind(id)}, batch int, bytes long")
 
 
 def sections(rows: DataFrame, id: str, group: str, text: str, size: int = 12_000) -> DataFrame:

@@ -73,10 +73,13 @@ def combine(*heads: Column, failure: Column) -> Column:
 
 def contested(values: DataFrame, keys: list[str], id: str, confidence: str = "confidence", floor: float = 0.6, most: int = 60) -> DataFrame:
     """id, winner, confidence, n: of several values for one slot the most confident of the first `most` (by id) wins if it
-    reaches the floor; all others are unmapped, possibly all. The first `most` are the feature's own bound."""
-    w = Window.partitionBy(*keys).orderBy(id)
-    v = values.select(*keys, id, confidence).withColumns({"_n": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*keys))})
-    top = v.filter(F.col("_n") <= most).groupBy(*keys).agg(F.max_by(F.struct(F.col(id).alias("i"), F.col(confidence).alias("c")), F.struct(F.coalesce(F.col(confidence), F.lit(-1.0)), -F.col(id))).alias("t"))
+    reaches the floor; all others are unmapped, possibly all. Rows with a null key are left out. The first `most` are the bound of the feature."""
+    v = values.select(*keys, id, confidence)
+    n = v.groupBy(*keys).agg(F.count("*").alias("n"))
+    # Ranks up to a bound are cut ahead of the shuffle, so a hot slot is no large task.
+    few = v.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(id))).filter(F.col("_n") <= most)
+    top = few.groupBy(*keys).agg(F.max_by(F.struct(F.col(id).alias("i"), F.col(confidence).alias("c")), F.struct(F.coalesce(F.col(confidence), F.lit(-1.0)), -F.col(id))).alias("t"))
+    v = v.join(n, keys)
     r = v.join(top, keys)
     return r.select(id, ((F.col("t.i") == F.col(id)) & F.coalesce(F.col("t.c") >= floor, F.lit(False))).alias("winner"), F.col(confidence).alias("confidence"), "n")
 

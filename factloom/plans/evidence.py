@@ -85,7 +85,7 @@ def e15_refund_sign(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def l9_batches(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.batches(table(spark, d, "documents"), "doc_id", "source", "text")
+    return assembly.batches(table(spark, d, "documents"), "doc_id", "source", "text", salts=16)
 
 
 @query()

@@ -20,7 +20,10 @@ def partitions(spark: SparkSession) -> int:
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt evenly to all cores ahead of costly Python work; files alone may give too few tasks. Always by all of the
-    row's columns or by the keys, never round robin, so that a task that runs again after a lost executor gets the same rows."""
+    row's columns or by the keys, never round robin, so that a task that runs again after a lost executor gets the same rows.
+    Where the files give enough tasks already, nothing is shuffled."""
+    if not keys and df.rdd.getNumPartitions() >= partitions(df.sparkSession):
+        return df
     return df.repartition(partitions(df.sparkSession), *(keys or (F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]),)))
 
 
