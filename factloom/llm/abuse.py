@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -37,6 +38,11 @@ _LEET_WORD = re.compile(r"(?<![^\W_])(?=\S*[^\W\d_])(?=\S*[\d@$!|€])[^\W_@$!|
 _SPREAD = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*·•| ][^\W\d_]){3,}(?![^\W_])")
 _STAR = re.compile(r"(?<=[^\W\d_])[*#]+(?=[^\W\d_])")
 _AGAIN = re.compile(r"([^\W\d_])\1{2,}")
+# Only texts with one of these can change: a letter between marks or blanks, a digit or sign by a letter, a letter thrice.
+_SUSPECT = re.compile(r"(?<![^\W_])[^\W\d_][.\-_*·•| ][^\W\d_](?![^\W_])|[^\W\d_][\d@$!|€*#]|[\d@$!|€][^\W\d_]|([^\W\d_])\1\1")
+_HIDDEN_ALIKE = {**_HIDDEN, **_LOOKALIKE}
+_NUMBERS = re.compile(r"(?<!\w)\d+(?!\w)")
+_DIGITS = re.compile(r"\d")
 _ENDS = re.compile(r"(?<=[.!?…])[\"'»“”)]*\s+|\n+")
 _SPEAKER = re.compile(r"^\s*(?:\[[^\]]{1,12}\]\s*)?(?:[A-ZÄÖÜÉ][\w-]{1,30}:\s+)?")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[!?]+|[\"„“”«»]")
@@ -45,11 +51,15 @@ _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[!?]+|[\"„“”«»]")
 def plain(text: str) -> str:
     """A text without disguise: compatible forms, hidden characters, look-alikes, spread letters, digits for letters and
     repeated letters undone; lower case without accents."""
-    t = unicodedata.normalize("NFKC", text).translate(_HIDDEN).translate(_LOOKALIKE)
-    t = _SPREAD.sub(lambda m: re.sub(r"[.\-_*·•| ]", "", m.group()), t)
-    t = _LEET_WORD.sub(lambda m: m.group().translate(_LEET) if sum(c.isalpha() for c in m.group()) * 5 >= len(m.group()) * 2 else m.group(), t)
-    t = _STAR.sub("", _AGAIN.sub(r"\1\1", t)).lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    t = text
+    if not t.isascii():
+        t = unicodedata.normalize("NFKC", t).translate(_HIDDEN_ALIKE)
+    if _SUSPECT.search(t):
+        t = _SPREAD.sub(lambda m: re.sub(r"[.\-_*·•| ]", "", m.group()), t)
+        t = _LEET_WORD.sub(lambda m: m.group().translate(_LEET) if sum(c.isalpha() for c in m.group()) * 5 >= len(m.group()) * 2 else m.group(), t)
+        t = _STAR.sub("", _AGAIN.sub(r"\1\1", t))
+    t = t.lower()
+    return t if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
 
 
 def sentences(text: str) -> list[str]:
@@ -67,19 +77,31 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def _hash(name: str) -> int:
+    return crc32(name.encode()) & ((1 << BITS) - 1)
+
+
+@lru_cache(maxsize=100_000)
+def _word_features(x: str) -> tuple[int, ...]:
+    """Of a word: itself, its letters sorted (typos swap letters), and every five letters in a row."""
+    out = [_hash(f"w{x}")]
+    if len(x) > 4:
+        y = f"<{x}>"
+        out.append(_hash("a" + "".join(sorted(x))))
+        out += [_hash(f"c{y[i : i + 5]}") for i in range(len(y) - 4)]
+    return tuple(out)
+
+
 def features(sentence: str) -> np.ndarray:
     """Hashed words, pairs and near pairs of words, and letters of words; each once."""
     body = _SPEAKER.sub("", sentence, count=1)
-    w = [x if not any(c.isdigit() for c in x) else "0" for x in _WORD.findall(plain(body))]
-    names = {f"w{x}" for x in w}
-    names.update(f"b{a} {b}" for a, b in zip(["^", *w], [*w, "$"]))
-    names.update(f"s{a} {b}" for a, b in zip(w, w[2:]))
+    w = [x if x.isalpha() or not _DIGITS.search(x) else "0" for x in _WORD.findall(plain(body))]
+    out: list[int] = []
     for x in w:
-        if len(x) > 4:
-            names.add("a" + "".join(sorted(x)))
-            y = f"<{x}>"
-            names.update(f"c{y[i : i + 5]}" for i in range(len(y) - 4))
-    return np.fromiter((crc32(n.encode()) & ((1 << BITS) - 1) for n in names), dtype=np.int32, count=len(names))
+        out += _word_features(x)
+    out += [_hash(f"b{a} {b}") for a, b in zip(["^", *w], [*w, "$"])]
+    out += [_hash(f"s{a} {b}") for a, b in zip(w, w[2:])]
+    return np.unique(np.array(out, dtype=np.int32))
 
 
 def _flat(docs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +151,8 @@ def fit(docs: list[list[np.ndarray]], labels: np.ndarray, epochs: int = 14, batc
                 w[h, u] -= rate * d / np.sqrt(gw[h, u])
                 gb[h] += g.sum() ** 2
                 b[h] -= rate * g.sum() / np.sqrt(gb[h])
-    return w.astype(np.float32), b
+    # In memory a feature's weights of all heads lie together.
+    return np.ascontiguousarray(w.T.astype(np.float32)).T, b
 
 
 def noisy_or(p: np.ndarray) -> np.ndarray:
@@ -167,9 +190,9 @@ def train(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray,
 
 def sentence_scores(fs: list[np.ndarray], w: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Probability of each sentence (rows) under each head."""
-    out = np.empty((len(fs), len(b)))
+    out, rows = np.empty((len(fs), len(b))), w.T  # the fit hands weights over feature by feature
     for i, f in enumerate(fs):
-        out[i] = w[:, f].sum(axis=1) * (3.0 * max(1.0, len(f)) ** -0.5) + b
+        out[i] = rows[f].sum(axis=0) * (3.0 * max(1.0, len(f)) ** -0.5) + b
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
@@ -208,15 +231,17 @@ def scores(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, b, threshold = shared.value
+        w = np.ascontiguousarray(w.T).T
         known: dict[str, np.ndarray] = {}
 
         def of(sentence: str) -> np.ndarray:
-            body = _SPEAKER.sub("", sentence, count=1)
+            # Numbers are all one word, so sentences that differ in them alone are one.
+            body = _NUMBERS.sub("0", _SPEAKER.sub("", sentence, count=1))
             p = known.get(body)
             if p is None:
                 if len(known) > 50_000:
                     known.clear()
-                p = known[body] = sentence_scores([features(sentence)], w, b)[0]
+                p = known[body] = sentence_scores([features(body)], w, b)[0]
             return p
 
         for x in batches:
