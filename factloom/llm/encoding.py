@@ -34,9 +34,6 @@ ENTRY_BITS = 13.0
 #: Distinct tokens a task counts before it hands them on.
 FLUSH = 200_000
 
-#: Rows that may hold damage: any character outside the common ones, a letter that stands for a euro, a capital within a
-#: word. Matched in the JVM.
-SUSPECT = "[^\\x00-\\x7f·" + COMMON + "]|\\p{L}·|·\\p{L}|[0-9][ \\n]?[ÄÇ]([^a-zäöü]|$)|(^|[ \\n])[ÄÇ][0-9]|[a-zäöü][ÉÀÄÖÜ]"
 _PLAIN = re.compile(f"[\\x20-\\x7e{re.escape(LETTERS + SIGNS)}]+")
 _INNER = re.compile("[a-zäöüßéèêàâçñóúíáîôû][ÄÖÜÉÈÀÇÊÂÔÎÛÚÓÁÍÑ]")
 _DIGIT = re.compile("[0-9]")
@@ -100,6 +97,23 @@ def _narrow(encoding: str) -> dict[int, str]:
     return out
 
 
+def _suspect() -> str:
+    """Rows that may hold damage: any character outside the common ones, any that a one-byte step changes, any two that may
+    begin a sequence of UTF-8, a capital within a word. It holds for every text that some chain changes."""
+    one = {chr(c) for e in NARROW for c in _narrow(e)} & set(COMMON)
+    two = []
+    for e in WIDE:
+        chars = {c: b for c, b in _byte_chars(e).items() if c in COMMON}
+        lead, tail = ("".join(c for c, b in chars.items() if lo <= b < hi) for lo, hi in ((0xC2, 0xF5), (0x80, 0xC0)))
+        if lead and tail:
+            two.append(f"[{lead}][{tail}]")
+    return "|".join([f"[^\\x00-\\x7f{COMMON}]", f"[{''.join(sorted(one))}]", *dict.fromkeys(two), "[a-zäöü][ÉÀÄÖÜ]"])
+
+
+#: Matched in the JVM; the judge decides about the rows.
+SUSPECT = _suspect()
+
+
 def chains(token: str) -> dict[tuple[str, ...], str]:
     """Every chain of up to three wrong steps that changes a token, and what comes out."""
     out: dict[tuple[str, ...], str] = {}
@@ -226,6 +240,15 @@ class Judge:
             self.gain_of[lang, token] = got
         return got
 
+    def sure(self, token: str, chain: tuple[str, ...]) -> bool:
+        """Whether a chain speaks for itself on a masked token: not if it only puts small ordinary letters for others ('Auß' as
+        'Auá') or a § after a letter, and no dictionary holds the outcome; such words follow a chain that other words call for."""
+        u = _apply(token, chain)
+        if u in self.anywhere or len(u) != len(token):
+            return True
+        swaps = [(i, x, y) for i, (x, y) in enumerate(zip(token, u)) if x != y]
+        return not all(x in LETTERS and x.islower() and (y in LETTERS and y.islower() or y == "§" and token[:i][-1:].isalpha()) for i, x, y in swaps)
+
     def judge(self, text: str) -> tuple[tuple[str, ...], str] | None:
         """(chains, restored text) if chains describe the text shorter than the text itself, or nothing. A chain is applied to
         the words that it shortens; after the best chain others may follow for the words it left."""
@@ -235,8 +258,8 @@ class Judge:
         while at and len(taken) < 4:
             total: Counter = Counter()
             each = {i: self.gains(lang, masked(pieces[i])) for i in at}
-            for g in each.values():
-                total.update(g)
+            for i, g in each.items():
+                total.update({c: x for c, x in g.items() if self.sure(masked(pieces[i]), c)})
             if not total:
                 break
             chain = min(total, key=lambda c: (STEP_BITS * len(c) - total[c], len(c), c))
@@ -276,7 +299,7 @@ def repair_lost(text: str, judge: Judge) -> str:
 def wrong_encodings(rows: DataFrame, text: str, keys: tuple[str, ...], dicts: dict[str, bytes]) -> DataFrame:
     """keys, chain, restored of each row whose text holds text decoded with the wrong encoding.
 
-    Rows that hold only common characters are dismissed in the JVM. For the others every candidate decoding of each word (chains of up to
+    Rows that hold nothing a chain could change are dismissed in the JVM. For the others every candidate decoding of each word (chains of up to
     three wrong steps) is compressed with the dictionary of the text's language; the chain of least description length, its
     own cost included, is taken, and none if the text itself is shortest. Damage in places is undone in those places only.
     A text with U+FFFD has lost characters: chain 'lost', completed where one frequent word fits, else left. Null and empty

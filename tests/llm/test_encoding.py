@@ -40,5 +40,23 @@ def test_rows(spark):
     assert got["part", "a"].restored == "Sie können für die Höhe" and got["part", "f"].restored == long and got["part", "b"].chain == "lost" and got["part", "b"].restored == "Sie können das"
 
 
+def test_a_single_common_sign_passes_the_filter_and_syllables_stay(spark, judge):
+    good, bad = "Sie können für die Höhe", ["f³r", "Der Auftrag ist f³r März", "dú", "der Preis 5 Ä"]
+    p = spark.createDataFrame([(f"g{i}", good) for i in range(5)] + [("x", "die Auß-\nenwand")], "segment_id string, text string")
+    f = spark.createDataFrame([(i, t) for i, t in enumerate(bad[:2])], "fact_id long, quote string")
+    got = {(r.record_kind, r.record_id): r.restored for r in E.found(p, f).collect()}
+    assert got == {("fact", "0"): "für", ("fact", "1"): "Der Auftrag ist für März"}
+    held = spark.createDataFrame([(t,) for t in bad], "t string").filter(E.F.col("t").rlike(E.SUSPECT)).count()
+    assert held == len(bad) and judge.judge("die Auß-\nenwand") is None
+
+
+def test_filter_holds_for_all_that_a_chain_changes(spark):
+    one = {chr(c) for e in E.NARROW for c in E._narrow(e)}
+    two = {c.encode().decode(e, "ignore") for e in E.WIDE for c in E.LETTERS + E.SIGNS}
+    texts = [t for t in sorted(one | two) if E.chains(t)]
+    d = spark.createDataFrame([(f"x{t}x",) for t in texts], "t string")
+    assert len(texts) > 500 and [r.t for r in d.filter(~E.F.col("t").rlike(E.SUSPECT)).collect()] == []
+
+
 def test_empty(spark):
     assert E.found(spark.createDataFrame([], "segment_id string, text string"), spark.createDataFrame([], "fact_id long, quote string")).count() == 0
