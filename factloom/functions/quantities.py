@@ -35,23 +35,25 @@ _PERIODS = tuple((n, re.compile(p)) for n, p in _PERIOD_STEMS)
 _NUMBER = re.compile(r"[-+−]?\d(?:[\d.,'’   ]*\d)?")
 _THOUSAND = re.compile(r"thousand|tsd|tausend|mille|miles de|\bin t(?:€|eur)", re.I)
 _CENTS = re.compile(r"\bcents?\b|\bct\b|centimes|céntimos", re.I)
+_GROUPS = re.compile(r"['’   ]")
 _SPACES = re.compile(r"\s+")
 
 
 class Reading(NamedTuple):
-    """number as written times what is stated; currency or unit None where no text says it; per_year None likewise."""
+    """number as written times what is stated; currency or unit None where no text says it; per_year None likewise; decimals: written with them."""
 
     value: float
     base: str | None
     scale_stated: bool
     per_year: float | None
     ambiguous: float | None
+    decimals: bool = False
 
 
 def number(text: str, decimals_only: bool = False) -> tuple[float, float | None] | None:
     """The number in digits with group and decimal marks of any country, and its other reading if a single mark before
     three digits could be either. None if there is no number."""
-    t = re.sub(r"['’   ]", "", text).replace("−", "-")
+    t = _GROUPS.sub("", text).replace("−", "-")
     last = max(t.rfind("."), t.rfind(","))
     if last < 0:
         return (float(t), None) if re.fullmatch(r"[-+]?\d+", t) else None
@@ -70,6 +72,16 @@ def number(text: str, decimals_only: bool = False) -> tuple[float, float | None]
         return None
 
 
+def has_decimals(text: str) -> bool:
+    """Whether a number is written with decimals, be they zeros; a single mark before three digits groups, as number() reads it."""
+    t = _GROUPS.sub("", text)
+    last = max(t.rfind("."), t.rfind(","))
+    if last < 0 or t[last] in t[:last]:
+        return False
+    head, tail = t[:last], t[last + 1 :]
+    return "," in head or "." in head or not (len(tail) == 3 and re.fullmatch(r"[-+−]?[1-9]\d{0,2}", head))
+
+
 @lru_cache(maxsize=20_000)
 def recurrence(text: str) -> float | None:
     """How often a year, by the words of a text; None if they name no period."""
@@ -119,4 +131,4 @@ def read(amount: str | None, currency: str | None, unit: str | None, period: str
     n = number(m.group(), decimals_only=scale >= 1000 and money)
     if n is None or not math.isfinite(n[0]):
         return None
-    return Reading(n[0] * scale, base, stated, per, None if n[1] is None else n[1] * scale)
+    return Reading(n[0] * scale, base, stated, per, None if n[1] is None else n[1] * scale, has_decimals(m.group()))

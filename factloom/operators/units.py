@@ -33,8 +33,9 @@ def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if r is None:
                 out.append((None, None, None, False))
             else:
-                whole = kind == "money" and not r.scale_stated and float(r.value).is_integer()
-                out.append((r.value, r.base, r.per_year, bool(whole)))
+                # By the written form: '120.00' states its scale as much as '120.50'.
+                whole = kind == "money" and not r.scale_stated and not r.decimals
+                out.append((r.value, r.base, r.per_year, whole))
         o = pd.DataFrame(out, columns=["number", "base", "per_year", "is_open"], index=b.index)
         yield pd.concat([b[["value_id", "subject_id", "slot", "recorded_at"]], o], axis=1).astype({"number": float, "per_year": float})
 

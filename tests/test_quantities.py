@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from factloom.functions.quantities import number, read, recurrence
+from factloom.functions.quantities import has_decimals, number, read, recurrence
 from factloom.operators import units
 
 SCHEMA = "value_id long, subject_id string, slot string, value_type string, amount string, currency string, unit string, period string, context_quote string, recorded_at timestamp, base string, number double"
@@ -78,6 +78,19 @@ def test_common_units_and_pairs(spark):
     assert pairs == {(1, 2), (1, 3), (2, 3), (8, 9)}
 
 
+def test_whole_amounts_with_decimals_state_their_scale(spark):
+    data = [(1, "s", "charge", "money", "80.00", "EUR", None, None, None), (2, "s", "charge", "money", "8000", "EUR", None, None, None), (3, "s", "charge", "money", "80,00 Euro", None, None, None, None)]
+    data += [(4, "t", "charge", "money", "80", "EUR", None, None, None), (5, "t", "charge", "money", "8000", "EUR", None, None, None), (6, "u", "bonus", "money", "1,074.00", "EUR", None, None, None), (7, "u", "bonus", "money", "107400", "EUR", None, None, None)]
+    c = units.common_units(rows(spark, data), spark.createDataFrame(RATES, "currency string, eur_per_unit double"))
+    assert {r.value_id: r.reversed_factor for r in c.collect() if r.reversed_factor} == {2: 100, 7: 100}
+    assert {tuple(r) for r in units.near_pairs(c).collect()} == {(1, 2), (1, 3), (2, 3), (6, 7)}
+
+
+@pytest.mark.parametrize("text,want", [("120.00", True), ("€ 506.00"[2:], True), ("1.074,00", True), ("1'074.00", True), ("2.8277", True), ("0.500", True), ("120", False), ("1.074", False), ("1.074.000", False), ("8 000", False)])
+def test_decimals_by_the_written_form(text, want):
+    assert has_decimals(text) is want
+
+
 def test_pairs_against_brute_force(spark):
     rng = random.Random(9)
     data = [(i, f"s{rng.randint(0, 2)}", "a", rng.choice([-1, 1]) * math.exp(rng.uniform(0, 0.06)), "EUR") for i in range(300)] + [(1000, "s1", "a", 0.0, "EUR"), (1001, "s1", "a", 0.0, "EUR")]
