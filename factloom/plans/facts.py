@@ -380,6 +380,7 @@ def x43_proposals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH x AS (SELECT DISTINCT value_id, subject_id, slot, coalesce(value_text, amount) AS value FROM slot_values WHERE value_type IN ('identifier', 'text')) SELECT value_id, sha256('{"c0":"' || subject_id || '","c1":"' || slot || '","c2":"' || value || '"}') AS key FROM x WHERE value IS NOT NULL AND value NOT LIKE '%"%' AND value NOT LIKE '%\\%' ESCAPE '!'""")
 def v20_semantic_key(spark: SparkSession, d: str) -> DataFrame:
+    """Every identifier and text with a value; the SQL leaves out those that JSON would escape."""
     x = table(spark, d, "slot_values").filter("value_type in ('identifier', 'text')").select("value_id", "subject_id", "slot", F.coalesce("value_text", "amount").alias("value")).dropDuplicates(["value_id"])
-    x = x.filter(F.col("value").isNotNull() & ~F.contains("value", F.lit('"')) & ~F.contains("value", F.lit("\\")))
+    x = x.filter("value is not null")
     return x.select("value_id", scalars.semantic_key(F.col("subject_id"), F.col("slot"), F.col("value")).alias("key"))
