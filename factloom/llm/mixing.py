@@ -87,7 +87,8 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
 
     Null or empty texts have no tokens; they are chosen with the whole blocks only. Documents of sources without target, of
     targets without documents and rows without doc_id or source are left out, the other targets keep their proportions.
-    Repeated rows of an id are one document of its largest size. The report has one row per source on either side:
+    Repeated rows of an id are one document of its largest size. The report has one row per source on either side,
+    with null target_share and max_repeats where it has no target:
     source, target_share, weight, max_repeats, source_tokens, budget_tokens, actual_tokens, actual_share, repeats, exponent.
     """
     t = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).filter("source is not null")
@@ -97,6 +98,7 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     goal = {r["source"]: r for r in t.limit(100_001).collect()}
     if len(goal) > 100_000:
         raise ValueError("mix_targets has more than 100 000 sources")
+    known = docs.filter("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     cell = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(CELLS)).cast("int")
     docs = docs.join(t.select("source"), "source", "left_semi").withColumn("cell", cell)
     cells = docs.groupBy("source", "cell").agg(F.sum("n_tokens").alias("n"))
@@ -120,9 +122,8 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     out = rest.unionByName(cut).withColumn("repeats", (F.col("whole") + F.when(F.col("n_tokens") > 0, F.col("more")).otherwise(0)).cast("int"))
     chosen = out.filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("actual_tokens"), F.sum("repeats").alias("copies"), F.max("repeats").alias("repeats"))
-    known = spark.createDataFrame([(k, int(n)) for k, n in tokens.items()], "source string, source_tokens long")
     w_df = spark.createDataFrame([(k, float(x)) for k, x in weight.items()], "source string, weight double")
     every = got.agg(F.sum("actual_tokens").alias("all_tokens"))
-    report = t.join(known, "source", "left").join(w_df, "source", "left").join(plan_df.select("source", "budget_tokens"), "source", "left").join(got, "source", "left").join(F.broadcast(every))
+    report = t.join(known, "source", "full").join(w_df, "source", "left").join(plan_df.select("source", "budget_tokens"), "source", "left").join(got, "source", "left").join(F.broadcast(every))
     report = report.select("source", "target_share", "max_repeats", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), F.coalesce("budget_tokens", F.lit(0)).alias("budget_tokens"), F.coalesce("actual_tokens", F.lit(0)).alias("actual_tokens"), F.coalesce(F.col("actual_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("repeats", F.lit(0)).alias("repeats"), F.lit(float(exponent)).alias("exponent"))
     return chosen, report

@@ -39,6 +39,14 @@ def test_shares_and_repeats(spark):
     assert r["big"].actual_tokens == sum(x.n_tokens * x.repeats for x in c if x.source == "big") <= r["big"].budget_tokens
 
 
+def test_report_has_sources_of_either_side(spark):
+    rows = [(i, "a", 10) for i in range(20)] + [(100 + i, "free", 5) for i in range(4)] + [(100, "free", 3), (200, None, 9)]
+    chosen, report = M.mix(sizes(spark, rows), targets(spark, [("a", 0.7, 2), ("gone", 0.3, 1)]))
+    got = {r.source: (r.target_share, r.max_repeats, r.weight, r.source_tokens, r.actual_tokens, r.actual_share) for r in report.collect()}
+    assert got == {"a": (0.7, 2, 1.0, 200, 400, 1.0), "gone": (0.3, 1, 0.0, 0, 0, 0.0), "free": (None, None, 0.0, 20, 0, 0.0)}
+    assert {r.source for r in chosen.collect()} == {"a"}
+
+
 def test_same_every_time_and_empty(spark):
     s, t = sizes(spark, [(i, "a", i % 9) for i in range(500)]), targets(spark, [("a", 1.0, 2)])
     rows = lambda d: sorted(map(tuple, M.mix(d, t, budget=700)[0].collect()))
