@@ -41,9 +41,9 @@ def test_nothing_readable():
 
 def test_changepoints_are_the_exact_optimum():
     rng = random.Random(4)
-    for _ in range(30):
-        n = rng.randint(1, 8)
-        x = np.log(np.array([rng.choice([100.0, 100.1, 120.0, 1000.0]) for _ in range(n)]))
+    for k in range(200):
+        n = rng.randint(1, 10)
+        x = np.log(np.array([rng.choice([100.0, 100.1, 120.0, 1000.0] if k % 2 else [100.0, 100.3, 100.6, 101.0, 101.4]) for _ in range(n)]))
 
         def cost(cuts):
             edges = [0, *cuts, n]
@@ -91,6 +91,56 @@ def test_decimals_by_the_written_form(text, want):
     assert has_decimals(text) is want
 
 
+def test_a_whole_amount_beside_a_stated_one_keeps_its_level(spark):
+    """Only the segment of several rows says that 120 is meant: alone, it would be minor units of the 1.20 further on."""
+    amounts = ["120.00", "120", "120", "1.20", "1.20", "45000", "45000", "450.00"]
+    data = [(i, "s", "charge", "money", a, "EUR", None, None, None) for i, a in enumerate(amounts)]
+    c = units.common_units(rows(spark, data), spark.createDataFrame(RATES, "currency string, eur_per_unit double"))
+    assert {r.value_id: r.reversed_factor for r in c.collect()} == {0: None, 1: None, 2: None, 3: None, 4: None, 5: 100, 6: 100, 7: None}
+
+
+def test_other_factors_where_a_row_leaves_them_open(spark):
+    data = [(1, "m", "rent", "money", "700,00", "EUR", None, "month", None), (2, "m", "rent", "money", "700.50", "EUR", None, None, None), (3, "m", "rent", "money", "70050", "EUR", None, None, None), (4, "m", "rent", "money", "15,00", "EUR", None, None, None)]
+    data += [(5, "k", "mileage", "quantity", "15000", None, "km", None, None), (6, "k", "mileage", "quantity", "15000000", None, None, None, None), (7, "k", "mileage", "quantity", "9321", None, None, None, None), (8, "k", "mileage", "quantity", "77", None, None, None, None)]
+    data += [(9, "w", "used", "quantity", "1,234", None, "m³", None, None), (10, "w", "used", "quantity", "1.2340", None, "m³", None, None), (11, "n", "used", "quantity", "5", None, None, None, None)]
+    got = {r.value_id: r for r in units.common_units(rows(spark, data), spark.createDataFrame(RATES, "currency string, eur_per_unit double")).collect()}
+    assert got[2].amount_common == pytest.approx(8406) and got[2].unit_common == "EUR/year" and got[3].amount_common == pytest.approx(8406)
+    assert got[4].amount_common == 15 and got[4].unit_common == "EUR"
+    assert got[6].amount_common == pytest.approx(15000) and got[6].unit_common == "km" and got[7].amount_common == pytest.approx(15000, rel=1e-3) and got[8].amount_common is None
+    assert got[9].amount_common == pytest.approx(1.234) and got[9].reversed_factor == 1000 and got[11].amount_common is None
+
+
+def test_one_long_history_under_any_batches_and_partitions(spark):
+    """12 000 rows of one history in pieces of many rows, some as minor units: the same under any layout, and the truth."""
+    rng, data, want = random.Random(3), [], {}
+    for p in range(60):
+        level = round(math.exp(rng.uniform(3, 7)), 2)
+        minor = p % 5 == 2
+        for i in range(200):
+            n = p * 200 + i
+            a = round(level * (1 + rng.uniform(-0.0004, 0.0004)), 2)
+            stated = not minor and p != 0
+            data.append((n, "s", "charge", "money", f"{a:.2f}" if stated or p == 0 else str(round(a * 100)), "EUR", None, None, None))
+            want[n] = a
+        if minor:  # The same level once more with decimals, elsewhere in the history.
+            data.append((100_000 + p, "s", "charge", "money", f"{level:.2f}", "EUR", None, None, None))
+            want[100_000 + p] = level
+    v = rows(spark, data)
+    rates = spark.createDataFrame(RATES, "currency string, eur_per_unit double")
+    seen = set()
+    for batch, parts in ((10_000, 4), (61, 9)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            got = sorted((r.value_id, r.amount_common, r.reversed_factor or 0) for r in units.common_units(v, rates).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        seen.add(tuple(got))
+    assert len(seen) == 1
+    assert all(a == pytest.approx(want[i], rel=1e-4) for i, a, _ in next(iter(seen)))
+
+
 def test_pairs_against_brute_force(spark):
     rng = random.Random(9)
     data = [(i, f"s{rng.randint(0, 2)}", "a", rng.choice([-1, 1]) * math.exp(rng.uniform(0, 0.06)), "EUR") for i in range(300)] + [(1000, "s1", "a", 0.0, "EUR"), (1001, "s1", "a", 0.0, "EUR")]
