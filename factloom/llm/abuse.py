@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.sources.tables import spread
 
 HEADS = ("abusive", "hateful", "sexual")
-#: Feature space, and the most labelled documents a model is fitted on (those of the least hash of their id).
-BITS, MOST_LABELLED = 17, 8_000
+#: Feature space, and the most labelled documents a model is fitted on (those of the least hash of their id) with the most
+#: bytes of their features.
+BITS, MOST_LABELLED, MOST_BYTES = 17, 8_000, 1 << 26
 #: Labelled cases a feature must come in to have a weight: what a single document holds is its own names and amounts.
 SUPPORT = 2
 #: Out-of-fold probabilities beyond which a label against them counts as wrong and is left out of the last fit, by the share
@@ -27,8 +28,8 @@ SURE = ((0.75, 0.1), (0.5, 0.03))
 LEAK = 0.02
 #: Range of the threshold, which maximises F1 out of fold.
 THRESHOLDS = tuple(x / 100 for x in range(30, 76, 5))
-#: Longest stretch without a sentence end that is one sentence.
-LONGEST = 600
+#: Longest stretch without a sentence end that is one sentence; the next begins this much before its cut, so no phrase is cut.
+LONGEST, OVERLAP = 600, 80
 
 # Characters that hide nothing but words, letters of other scripts that look Latin, signs that stand for letters.
 _HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­᠎︎️‎‏"))
@@ -43,6 +44,7 @@ _SUSPECT = re.compile(r"(?<![^\W_])[^\W\d_][.\-_*·•| ][^\W\d_](?![^\W_])|[^\W
 _HIDDEN_ALIKE = {**_HIDDEN, **_LOOKALIKE}
 _NUMBERS = re.compile(r"(?<!\w)\d+(?!\w)")
 _DIGITS = re.compile(r"\d")
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))) + "]+")
 _ENDS = re.compile(r"(?<=[.!?…])[\"'»“”)]*\s+|\n+")
 _SPEAKER = re.compile(r"^\s*(?:\[[^\]]{1,12}\]\s*)?(?:[A-ZÄÖÜÉ][\w-]{1,30}:\s+)?")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[!?]+|[\"„“”«»]")
@@ -59,11 +61,12 @@ def plain(text: str) -> str:
         t = _LEET_WORD.sub(lambda m: m.group().translate(_LEET) if sum(c.isalpha() for c in m.group()) * 5 >= len(m.group()) * 2 else m.group(), t)
         t = _STAR.sub("", _AGAIN.sub(r"\1\1", t))
     t = t.lower()
-    return t if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", t))
 
 
 def sentences(text: str) -> list[str]:
-    """A text's sentences; lines end sentences, and a stretch without an end is cut at blanks into pieces of at most LONGEST."""
+    """A text's sentences; lines end sentences, and a stretch without an end is cut at blanks into pieces of at most LONGEST
+    that overlap by about OVERLAP."""
     out = []
     for s in _ENDS.split(text):
         s = s.strip()
@@ -71,7 +74,8 @@ def sentences(text: str) -> list[str]:
             cut = s.rfind(" ", 0, LONGEST)
             cut = cut if cut > 0 else LONGEST
             out.append(s[:cut])
-            s = s[cut:].strip()
+            back = s.rfind(" ", cut // 2, max(cut // 2, cut - OVERLAP))
+            s = s[back if back > 0 else cut - OVERLAP if s[cut] != " " else cut :].strip()
         if s:
             out.append(s)
     return out
@@ -130,25 +134,29 @@ def fit(docs: list[list[np.ndarray]], labels: np.ndarray, epochs: int = 14, batc
     n, heads = len(docs), labels.shape[1]
     w, b = np.zeros((heads, 1 << BITS)), np.full(heads, -4.0)
     gw, gb = np.full((heads, 1 << BITS), 1e-3), np.full(heads, 1.0)
-    cuts = list(range(0, n, batch))
+    # Batches stay the same, only their order changes: what does not depend on the weights is laid out once.
+    batches = []
+    for lo in range(0, n, batch):
+        hi = min(n, lo + batch)
+        s0, s1 = start[lo], start[hi]
+        f0, f1 = first[s0], first[s1]
+        u, inv = np.unique(idx[f0:f1], return_inverse=True)
+        of = sent[f0:f1] - s0
+        batches.append((labels[lo:hi], u, inv.astype(np.int32), of.astype(np.int32), scale[s0:s1], scale[s0:s1][of], np.repeat(np.arange(hi - lo), np.diff(start[lo : hi + 1]))))
     for _ in range(epochs):
-        for c in rng.permutation(len(cuts)):
-            lo, hi = cuts[c], min(n, cuts[c] + batch)
-            s0, s1 = start[lo], start[hi]
-            f0, f1 = first[s0], first[s1]
-            ix, of, sc = idx[f0:f1], sent[f0:f1] - s0, scale[s0:s1]
-            u, inv = np.unique(ix, return_inverse=True)
-            doc = np.repeat(np.arange(hi - lo), np.diff(start[lo : hi + 1]))
+        for c in rng.permutation(len(batches)):
+            y_all, u, inv, of, sc, each, doc = batches[c]
             for h in range(heads):
-                z = np.bincount(of, w[h, ix], s1 - s0) * sc + b[h]
+                wu = w[h, u]
+                z = np.bincount(of, wu[inv], len(sc)) * sc + b[h]
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), hi - lo))
-                y = labels[lo:hi, h]
+                none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y_all)))
+                y = y_all[:, h]
                 # Gradient of the log loss by each sentence's logit.
                 g = (1 - y)[doc] * p - (y * none / np.maximum(1 - none, 1e-9))[doc] * p
-                d = np.bincount(inv, (g * sc)[of], len(u)) + decay * w[h, u]
+                d = np.bincount(inv, g[of] * each, len(u)) + decay * wu
                 gw[h, u] += d * d
-                w[h, u] -= rate * d / np.sqrt(gw[h, u])
+                w[h, u] = wu - rate * d / np.sqrt(gw[h, u])
                 gb[h] += g.sum() ** 2
                 b[h] -= rate * g.sum() / np.sqrt(gb[h])
     # In memory a feature's weights of all heads lie together.
@@ -165,27 +173,44 @@ def document_scores(docs: list[list[np.ndarray]], w: np.ndarray, b: np.ndarray)
     return np.array([noisy_or(sentence_scores(d, w, b)) for d in docs])
 
 
-def train(docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, biases and threshold. The last head is any of the others. Two folds score each other; where
-    they find at least half of the labelled cases, labels that contradict a sure score are taken for wrong and left out; the threshold maximises F1 of the scores out of fold over the labels kept."""
-    y = np.column_stack([labels, labels.max(axis=1)])
-    if len(docs) < 20 or not 0 < (y[:, -1] >= 0.5).sum() < len(docs):
-        return (*fit(docs, y), 0.5)
-    odd = np.arange(len(docs)) % 2 == 1
-    hit, keep, out = y[:, -1] >= 0.5, np.ones(len(docs), dtype=bool), np.empty(len(docs))
-    for _ in range(2):  # the second time without what the first found wrong
-        for side in (odd, ~odd):
-            w, b = fit([d for d, o in zip(docs, ~side & keep) if o], y[~side & keep][:, -1:])
-            out[side] = document_scores([d for d, o in zip(docs, side) if o], w, b)[:, 0]
-        sure = next((x for share, x in SURE if (out[hit & keep] >= 0.5).mean() >= share), 0.0)
-        keep = ~((hit & (out < sure)) | (~hit & (out > 1 - sure)))
+Docs = tuple[list[list[np.ndarray]], np.ndarray]
+#: What a fit runs on: (documents it learns from, head or None for all, documents it scores); and what it gives.
+Job = tuple[np.ndarray, int, np.ndarray]
+Fitted = tuple[np.ndarray, float, np.ndarray]
 
-    def f1(t: float) -> float:
-        got = out[keep] >= t
-        return 2 * (got & hit[keep]).sum() / max(1, got.sum() + hit[keep].sum())
 
-    w, b = fit([d for d, k in zip(docs, keep) if k], y[keep])
-    return w, b, max(THRESHOLDS, key=lambda t: (f1(t), -abs(t - 0.5)))
+def run_job(data: Docs, job: Job) -> Fitted:
+    """Weights and bias of one head fitted to some documents, and the scores of others."""
+    docs, y = data
+    learn, head, score = job
+    w, b = fit([docs[i] for i in learn], y[learn][:, head : head + 1])
+    return w[0], float(b[0]), document_scores([docs[i] for i in score], w, b)[:, 0] if len(score) else np.empty(0)
+
+
+def train(y: np.ndarray, run: Callable[[list[Job]], list[Fitted]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, biases and threshold from labels (documents x heads) and a way to run fits. The last head is any of the others.
+    Two folds score each other; labels that contradict a sure score are taken for wrong and left out (how sure it must be
+    depends on the share of labelled cases the folds find); the threshold maximises F1 of the scores out of fold over the
+    labels kept."""
+    n, heads, hit = len(y), y.shape[1], y[:, -1] >= 0.5
+    every, keep, threshold = np.arange(n), np.ones(n, dtype=bool), 0.5
+    if n >= 20 and 0 < hit.sum() < n:
+        side = every % 2 == 1
+        for _ in range(2):  # the second time without what the first found wrong
+            out = np.empty(n)
+            folds = [(every[~s & keep], heads - 1, every[s]) for s in (side, ~side)]
+            for (_, _, scored), (_, _, p) in zip(folds, run(folds)):
+                out[scored] = p
+            sure = next((x for share, x in SURE if (out[hit & keep] >= 0.5).mean() >= share), 0.0)
+            keep = ~((hit & (out < sure)) | (~hit & (out > 1 - sure)))
+
+        def f1(t: float) -> float:
+            got = out[keep] >= t
+            return 2 * (got & hit[keep]).sum() / max(1, got.sum() + hit[keep].sum())
+
+        threshold = max(THRESHOLDS, key=lambda t: (f1(t), -abs(t - 0.5)))
+    done = run([(every[keep], h, every[:0]) for h in range(heads)])
+    return np.stack([w for w, _, _ in done]), np.array([b for _, b, _ in done]), threshold
 
 
 def sentence_scores(fs: list[np.ndarray], w: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,8 +221,9 @@ def sentence_scores(fs: list[np.ndarray], w: np.ndarray, b: np.ndarray) -> np.nd
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[list[np.ndarray]], np.ndarray]:
-    """Features and labels (mean over reviewers) of at most so many labelled documents, those of the least hash of their id."""
+def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+    """Features and labels (mean over reviewers, and any) of at most so many labelled documents and bytes, those of the least
+    hash of their id. The features stay bytes: only the fits unpack them."""
     want = [F.coalesce(F.avg(h), F.lit(0.0)).alias(h) for h in HEADS]
     l = labels.filter("doc_id is not null").groupBy("doc_id").agg(*want).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # A bounded side, so it is broadcast: the documents are not shuffled for it.
@@ -209,11 +235,33 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
             sizes = [np.array([len(f) for f in d], dtype=np.int32).tobytes() for d in fs]
             yield pd.DataFrame({"doc_id": x["doc_id"], "f": [np.concatenate(d).tobytes() if d else b"" for d in fs], "sizes": sizes, **{h: x[h] for h in HEADS}})
 
-    # As bytes, and sorted here: a sort in Spark would run the features twice.
-    got = rows.mapInPandas(build, "doc_id long, f binary, sizes binary, " + ", ".join(f"{h} double" for h in HEADS)).toPandas().sort_values("doc_id")
-    got = got[got["sizes"].map(len) > 0]
-    docs = [np.split(np.frombuffer(f, dtype=np.int32), np.cumsum(np.frombuffer(n, dtype=np.int32))[:-1]) for f, n in zip(got["f"], got["sizes"])]
-    return docs, got[list(HEADS)].to_numpy(dtype=float)
+    got = rows.mapInPandas(build, "doc_id long, f binary, sizes binary, " + ", ".join(f"{h} double" for h in HEADS))
+    # At most `most` rows in this window; what goes on to the driver has at most `most_bytes`.
+    by = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    got = got.filter("octet_length(sizes) > 0").withColumn("upto", F.sum(F.octet_length("f")).over(by)).filter(F.col("upto") <= most_bytes).toPandas().sort_values("doc_id")
+    y = got[list(HEADS)].to_numpy(dtype=float)
+    return list(zip(got["f"], got["sizes"])), np.column_stack([y, y.max(axis=1)]) if len(y) else np.empty((0, len(HEADS) + 1))
+
+
+def unpacked(packed: list[tuple[bytes, bytes]]) -> list[list[np.ndarray]]:
+    return [np.split(np.frombuffer(f, dtype=np.int32), np.cumsum(np.frombuffer(n, dtype=np.int32))[:-1]) for f, n in packed]
+
+
+def fitted(spark: SparkSession, packed: list[tuple[bytes, bytes]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The model, its fits run as tasks on the broadcast features, one fit a task."""
+    data = spark.sparkContext.broadcast((packed, y))
+
+    def run(jobs: list[Job]) -> list[Fitted]:
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                for no in x["id"]:
+                    w, b, p = run_job((unpacked(data.value[0]), data.value[1]), jobs[no])
+                    yield pd.DataFrame({"id": [no], "w": [w.astype(np.float32).tobytes()], "b": [b], "p": [p.tobytes()]})
+
+        got = spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(work, "id long, w binary, b double, p binary").toPandas().sort_values("id")
+        return [(np.frombuffer(w, dtype=np.float32), b, np.frombuffer(p)) for w, b, p in zip(got["w"], got["b"], got["p"])]
+
+    return train(y, run)
 
 
 def scores(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -222,19 +270,25 @@ def scores(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
     Sentences' probabilities come from a linear model of disguise-free words, pairs and letter groups, fitted to document
     labels by noisy-or; a document's scores are the noisy-or of its sentences, and it is a case from the threshold on that
     was best out of fold. Whole texts are scored. Null, empty and blank texts have score 0 and no worst sentence; without any
-    label every score is 0. Repeated rows stay. The fit takes at most MOST_LABELLED documents; its weights (heads x 2^BITS
-    floats) are broadcast.
+    label every score is 0. Repeated rows stay. The fits, run as tasks, take at most MOST_LABELLED documents with at most MOST_BYTES
+    of features; the weights (heads x 2^BITS floats) are broadcast.
     """
-    docs, y = labelled(documents, labels, most)
-    model = train(docs, y) if len(docs) and y.max() > 0 else (np.zeros((len(HEADS) + 1, 1 << BITS), dtype=np.float32), np.full(len(HEADS) + 1, -30.0), 0.5)
+    packed, y = labelled(documents, labels, most)
+    model = fitted(documents.sparkSession, packed, y) if len(packed) and y.max() > 0 else (np.zeros((len(HEADS) + 1, 1 << BITS), dtype=np.float32), np.full(len(HEADS) + 1, -30.0), 0.5)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, b, threshold = shared.value
         w = np.ascontiguousarray(w.T).T
         known: dict[str, np.ndarray] = {}
+        verbatim: dict[str, np.ndarray] = {}
 
         def of(sentence: str) -> np.ndarray:
+            p = verbatim.get(sentence)
+            if p is not None:
+                return p
+            if len(verbatim) > 50_000:
+                verbatim.clear()
             # Numbers are all one word, so sentences that differ in them alone are one.
             body = _NUMBERS.sub("0", _SPEAKER.sub("", sentence, count=1))
             p = known.get(body)
@@ -242,6 +296,7 @@ def scores(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
                 if len(known) > 50_000:
                     known.clear()
                 p = known[body] = sentence_scores([features(body)], w, b)[0]
+            verbatim[sentence] = p
             return p
 
         for x in batches:
