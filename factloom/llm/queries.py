@@ -58,6 +58,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(mixing.counted(table(spark, d, "documents")), table(spark, d, "mix_targets"))[1]
 
 
+def p7_budget_shares(spark: SparkSession, d: str) -> DataFrame:
+    """As many tokens as the sources with a target have: the exponent is bisected until the repetition limits hold."""
+    sizes, targets = mixing.counted(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    n = sizes.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").dropDuplicates(["doc_id"]).agg(F.sum("n_tokens")).first()[0]
+    return mixing.mix(sizes, targets, budget=n or 0)[1]
+
+
+def p7_entropy_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Tempered token shares, as even among each other as the targets: the exponent is bisected to their entropy."""
+    targets = table(spark, d, "mix_targets")
+    goal = {r["source"]: r["target_share"] for r in targets.filter("target_share > 0").limit(100_000).collect()}
+    return mixing.mix(mixing.counted(table(spark, d, "documents")), targets, target_entropy=mixing.entropy(mixing.tempered(goal, 1.0)))[1]
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse.scores(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
@@ -71,7 +85,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p6_vocabulary_use": p6_vocabulary_use, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_budget_shares": p7_budget_shares, "p7_entropy_shares": p7_entropy_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 
 _P3 = r"""

@@ -53,3 +53,27 @@ def test_same_every_time_and_empty(spark):
     assert rows(s) == rows(s.repartition(3))
     chosen, report = M.mix(s.limit(0), t)
     assert chosen.count() == 0 and report.first().actual_share == 0.0
+
+
+def test_long_documents_do_not_end_a_block(spark):
+    rows = [(1, "a", 5000), (2, "a", 4000)] + [(10 + i, "a", 3) for i in range(400)] + [(1000 + i, "b", 10) for i in range(500)] + [(5000, "c", 900)]
+    t = targets(spark, [("a", 0.45, 2), ("b", 0.45, 1), ("c", 0.1, 2)])
+    for budget in (3000, 6000, 9500):
+        chosen, report = M.mix(sizes(spark, rows), t, budget=budget)
+        r = {x.source: x for x in report.collect()}
+        c = chosen.collect()
+        assert len({x.doc_id for x in c}) == len(c)
+        assert all(x.actual_tokens <= x.budget_tokens for x in r.values()) and r["b"].budget_tokens - r["b"].actual_tokens < 10
+        # The long ones that fit are in; what they leave is filled with short ones as far as these go.
+        short = 1200 * (1 + r["a"].budget_tokens // 10200)
+        assert r["a"].actual_tokens >= min(r["a"].budget_tokens, short) - 3
+
+
+def test_entropy_mix_reports_a_bisected_exponent(spark):
+    rows = [(i, "a", 10) for i in range(900)] + [(5000 + i, "b", 10) for i in range(90)] + [(8000 + i, "c", 10) for i in range(10)]
+    t = targets(spark, [("a", 0.5, 4), ("b", 0.3, 4), ("c", 0.2, 4)])
+    goal = M.entropy({"a": 0.5, "b": 0.3, "c": 0.2})
+    r = {x.source: x for x in M.mix(sizes(spark, rows), t, target_entropy=goal)[1].collect()}
+    assert M.entropy({k: x.weight for k, x in r.items()}) == pytest.approx(goal, abs=1e-6) and 0 < r["a"].exponent < 1
+    assert all(x.repeats <= 4 for x in r.values()) and all(abs(x.actual_share - x.weight) < 0.02 for x in r.values())
+    assert M.mix(sizes(spark, []), t, target_entropy=goal)[0].count() == 0
