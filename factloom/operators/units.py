@@ -91,6 +91,21 @@ def changepoints(x: np.ndarray, noise: float = NOISE, penalty: float = PENALTY)
     return no - 1 - out
 
 
+def _segments(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segment number and mean of each value of pieces that begin at `starts`. A piece whose whole squared error costs less
+    than one more segment is one; only the others are searched."""
+    n = np.diff(np.append(starts, len(x)))
+    off = x - np.repeat(np.add.reduceat(x, starts) / n, n)
+    begins = np.zeros(len(x), dtype=bool)
+    begins[starts] = True
+    for k in np.flatnonzero(np.add.reduceat(off * off, starts) > 2 * NOISE * NOISE * PENALTY):
+        i, j = starts[k], starts[k] + n[k]
+        seg = changepoints(x[i:j])
+        begins[i + 1 : j] = seg[1:] != seg[:-1]
+    seg = np.cumsum(begins) - 1
+    return seg, (np.bincount(seg, x) / np.bincount(seg))[seg]
+
+
 def _levels(defer: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Segment and its mean of each row. Rows come in the order of their history; what lies between two certain cuts is
     segmented as one piece, however many batches it spans. With defer, the first and last piece of a task, which may go on in
@@ -102,51 +117,36 @@ def _levels(defer: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
         def out(rows: pd.DataFrame, seg, level, undone: int) -> pd.DataFrame:
             return rows.drop(columns="piece", errors="ignore").assign(seg=seg, level=level, undone=undone, task=task)
 
-        def whole(frames: list[pd.DataFrame], undone: int) -> pd.DataFrame:
-            nonlocal count
-            rows = pd.concat(frames) if len(frames) > 1 else frames[0]
-            if undone:
-                return out(rows, 0, 0.0, undone)
-            x = rows["x"].to_numpy()
-            seg = changepoints(x)
-            level = (np.bincount(seg, x) / np.bincount(seg))[seg]
-            first, count = count, count + int(seg[-1]) + 1
-            number = (first + seg) + (task << 36)
-            return out(rows, number if defer else -1 - number, level, 0)
+        def done(frames: list[tuple[pd.DataFrame, np.ndarray]], at_end: bool) -> Iterator[pd.DataFrame]:
+            nonlocal count, opening
+            rows, starts = pd.concat([f for f, _ in frames]), np.flatnonzero(np.concatenate([c for _, c in frames]))
+            if defer and opening:
+                i, opening = starts[1] if len(starts) > 1 else len(rows), False
+                yield out(rows.iloc[:i], 0, 0.0, 1)
+                rows, starts = rows.iloc[i:], starts[1:] - i
+            elif defer and at_end:
+                yield out(rows, 0, 0.0, 2)
+                return
+            if len(rows):
+                seg, level = _segments(rows["x"].to_numpy(), starts)
+                number = (count + seg) + (task << 36)
+                count += int(seg[-1]) + 1
+                yield out(rows, number if defer else -1 - number, level, 0)
 
         for b in batches:
             if not len(b):
                 continue
-            x = b["x"].to_numpy()
-            key = (b["subject_id"] + "\x00" + b["slot"] + "\x00" + b["piece"].astype(str)).to_numpy() if "piece" in b else (b["subject_id"] + "\x00" + b["slot"]).to_numpy()
+            x, key = b["x"].to_numpy(), b["subject_id"] + "\x00" + b["slot"]
+            key = (key + "\x00" + b["piece"].astype(str) if "piece" in b else key).to_numpy()
             cut = np.concatenate([[last is None or key[0] != last[0] or abs(x[0] - last[1]) > CERTAIN], (key[1:] != key[:-1]) | (np.abs(np.diff(x)) > CERTAIN)])
-            last = (key[-1], x[-1])
-            at = np.flatnonzero(cut)
-            if not len(at):
-                pending.append(b)
-                continue
-            if at[0] > 0:
-                pending.append(b.iloc[: at[0]])
-            if pending:
-                yield whole(pending, int(defer and opening))
-                opening = False
-            # Pieces of one row are their own segments.
-            ends = np.append(at[1:], len(b))[:-1]
-            starts = at[:-1]
-            if len(starts) and opening:
-                yield whole([b.iloc[starts[0] : ends[0]]], int(defer))
-                starts, ends, opening = starts[1:], ends[1:], False
-            single = starts[ends - starts == 1]
-            if len(single):
-                number = np.arange(count, count + len(single)) + (task << 36)
-                count += len(single)
-                yield out(b.iloc[single], number if defer else -1 - number, x[single], 0)
-            more = [whole([b.iloc[i:j]], 0) for i, j in zip(starts, ends) if j - i > 1]
-            if more:
-                yield pd.concat(more)
-            pending = [b.iloc[at[-1] :]]
+            last, at = (key[-1], x[-1]), np.flatnonzero(cut)
+            if len(at) and (pending or at[-1] > 0):
+                yield from done([*pending, (b.iloc[: at[-1]], cut[: at[-1]])], False)
+                pending = []
+            i = at[-1] if len(at) else 0
+            pending.append((b.iloc[i:], cut[i:]))
         if pending:
-            yield whole(pending, (1 if opening else 2) if defer else 0)
+            yield from done(pending, True)
 
     return run
 

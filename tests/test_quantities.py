@@ -54,6 +54,18 @@ def test_changepoints_are_the_exact_optimum():
         assert cost([i for i in range(1, n) if seg[i] != seg[i - 1]]) == pytest.approx(best)
 
 
+def test_a_large_step_is_cut_by_every_optimum():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        x = np.cumsum(rng.choice([0.0, 0.001, -0.001, 0.012, -0.015, 0.03], 300))
+        whole = units.changepoints(x)
+        starts = np.flatnonzero(np.concatenate([[True], np.abs(np.diff(x)) > units.CERTAIN]))
+        seg, level = units._segments(x, starts)
+        cost = lambda s: sum(((x[s == k] - x[s == k].mean()) ** 2).sum() / (2 * units.NOISE**2) + units.PENALTY for k in set(s))  # noqa: E731, B023
+        assert len(starts) > 5 and cost(seg) == pytest.approx(cost(whole))
+        assert level == pytest.approx([x[seg == k].mean() for k in seg])
+
+
 def rows(spark, data):
     at = dt.datetime(2024, 1, 1)
     full = [(i, s, slot, kind, a, c, u, p, q, at + dt.timedelta(days=i), "clash", 1.0) for i, s, slot, kind, a, c, u, p, q in data]
