@@ -67,9 +67,10 @@ def p7_budget_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_entropy_shares(spark: SparkSession, d: str) -> DataFrame:
     """Tempered token shares, as even among each other as the targets: the exponent is bisected to their entropy."""
-    targets = table(spark, d, "mix_targets")
-    goal = {r["source"]: r["target_share"] for r in targets.filter("target_share > 0").limit(100_000).collect()}
-    return mixing.mix(mixing.counted(table(spark, d, "documents")), targets, target_entropy=mixing.entropy(mixing.tempered(goal, 1.0)))[1]
+    sizes, targets = mixing.counted(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    used = targets.filter("target_share > 0").join(sizes.filter("n_tokens > 0").select("source").distinct(), "source", "left_semi")
+    goal = {r["source"]: r["target_share"] for r in used.limit(100_000).collect()}
+    return mixing.mix(sizes, targets, target_entropy=mixing.entropy(mixing.tempered(goal, 1.0)))[1]
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
