@@ -10,21 +10,21 @@ from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.sources.tables import checkpoint, spread
+from factloom.sources.tables import checkpoint, partitions, spread
 
 # Short forms of given names, titles, legal forms, and words that name nobody.
 NICKNAMES = {
-    "alexander": "alex sascha xander", "andreas": "andi andy", "benjamin": "ben benni benny", "björn": "", "christina": "tina chrissi chris christl", "concepción": "concha conchita",
-    "cornelia": "conny nelly", "dorothea": "doro thea dora", "edward": "ed eddie ned ted", "elisabeth": "elsa lisbeth sissi lisa elli betty liesl", "étienne": "", "francisco": "paco pancho fran curro",
+    "alexander": "alex sascha xander", "andreas": "andi andy", "benjamin": "ben benni benny", "christina": "tina chrissi chris christl", "concepción": "concha conchita",
+    "cornelia": "conny nelly", "dorothea": "doro thea dora", "edward": "ed eddie ned ted", "elisabeth": "elsa lisbeth sissi lisa elli betty liesl", "francisco": "paco pancho fran curro",
     "françoise": "fanfan", "franziska": "franzi sissi", "friedrich": "fritz fred friedel", "gabriele": "gabi gaby", "gregory": "greg", "günther": "günni", "heinrich": "heiner heinz hein", "hildegard": "hilde gardi",
     "ignaz": "igi naz", "james": "jim jamie jimmy", "johannes": "hannes jo hans", "josé": "pepe zé", "josephine": "josi fine jo josie", "jürgen": "jürg", "katharina": "kathi kati käthe katja",
     "leopold": "poldi leo", "lukas": "luki luc", "margaret": "maggie peggy meg", "margarete": "grete gretel", "mathilde": "tilda hilde", "maximilian": "max maxi", "miriam": "mimi miri", "nikolaus": "niko klaus nick",
-    "ottilie": "otti", "patricia": "patty pat trish", "philippa": "pippa", "quentin": "quen", "rené": "", "robert": "bob robbie rob bobby", "rosalía": "rosa lía", "samuel": "sam sami", "sebastian": "basti wastl bastian",
+    "ottilie": "otti", "patricia": "patty pat trish", "philippa": "pippa", "quentin": "quen", "robert": "bob robbie rob bobby", "rosalía": "rosa lía", "samuel": "sam sami", "sebastian": "basti wastl bastian",
     "stefanie": "steffi", "susanne": "sanne susi", "theodor": "theo teddy", "tobias": "tobi", "ulrich": "uli ulli", "valentin": "valle val", "veronika": "vroni", "walburga": "burgi wally", "wilhelm": "willi willy helm", "william": "bill liam will billy",
-    "yvonne": "yvi", "zoé": "", "michael": "mike michi", "thomas": "tom", "matthias": "matze", "anna": "anni", "maria": "mia", "peter": "pit", "richard": "dick rick", "charles": "charlie", "anthony": "tony", "daniel": "dan dani", "david": "dave", "joseph": "joe sepp", "georg": "schorsch", "antonio": "toni", "manuel": "manolo", "jesús": "chus", "dolores": "lola",
+    "yvonne": "yvi", "michael": "mike michi", "thomas": "tom", "matthias": "matze", "anna": "anni", "maria": "mia", "peter": "pit", "richard": "dick rick", "charles": "charlie", "anthony": "tony", "daniel": "dan dani", "david": "dave", "joseph": "joe sepp", "georg": "schorsch", "antonio": "toni", "manuel": "manolo", "jesús": "chus", "dolores": "lola",
 }
 TITLES = frozenset("herr herrn frau mr mrs ms miss mme mlle monsieur madame m dr prof sr sra señor señora don doña dipl ing hr fr".split())
 LEGAL = {"gmbh", "ag", "kg", "eg", "se", "co", "ohg", "ug", "mbh", "gesellschaft", "aktiengesellschaft", "kommanditgesellschaft", "kommanditges", "genossenschaft", "eingetr", "eingetragene", "ltd", "inc", "sa", "sarl", "sl", "plc", "llc", "ev", "e.v.", "gbr"}
@@ -34,11 +34,16 @@ NOBODY = frozenset(
     "unbekannt unknown kunde kundin mieter mieterin vermieter versicherungsnehmer versicherte customer client cliente locataire assuré konto n/a na null none admin gast guest user test root administrator info kontakt office familie fam eheleute erben inhaber empfänger sender absender patient arbeitnehmer".split()
 )
 
-#: A token counts as known with this share of all name tokens, so at most 1 / SHARE are known.
-SHARE = 1e-5
-#: Log likelihoods of what writers do, the least posterior of an attachment, and how rare a token is beside another to be a typo of it.
-TYPO, NICK, SHORT, INITIAL, LOGIN, ABBREVIATION = -3.0, -1.5, -1.5, -2.0, -1.0, -1.5
-POSTERIOR, RARE = 0.6, 0.1
+#: Tokens whose roles (given name, surname, word of an organisation) the tasks know: the most frequent, seen three times or more.
+#: Names with others are tried in both orders and as organisations, so none is lost for it.
+MOST_TOKENS = 200_000
+#: What writers do, as bits of a number, and the log likelihood of each ahead of its estimation from the names themselves.
+TYPO, NICK, SHORT, INITIAL, LOGIN, ABBREVIATION, ORDER = (1 << i for i in range(7))
+LIKELIHOOD = {TYPO: -3.0, NICK: -1.5, SHORT: -1.5, INITIAL: -2.0, LOGIN: -1.0, ABBREVIATION: -1.5, ORDER: -1.0}
+#: Log prior that a spelling which another form explains is a name of its own, and the least posterior of an attachment.
+OWN, POSTERIOR = -5.0, 0.6
+#: Share of a token's mentions that are one and the same typo of it, at most; mentions that each token is taken to have besides.
+TYPO_RATE, BESIDES = 0.1, 16
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _UMLAUT = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o"})
@@ -63,17 +68,14 @@ for _full, _list in NICKNAMES.items():
         _SHORT.setdefault(_x, []).append(fold(_full))
 
 
-def deletions(word: str) -> set[str]:
-    """The word and every word with one letter less: two words with one edit or swap between them share one."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 2 else {word}
-
-
 class Roles:
     """How often tokens were seen as given name, surname and word of an organisation."""
 
     def __init__(self, counts: dict[str, tuple[int, int, int]]):
         self.counts = counts
-        self.sectors = sorted((t for t, (g, s, o) in counts.items() if o > g + s and len(t) > 5), key=lambda t: (-counts[t][2], t))
+        self.sectors: dict[str, list[str]] = {}
+        for t in sorted(t for t, (g, s, o) in counts.items() if o > g + s and len(t) > 5):
+            self.sectors.setdefault(t[0], []).append(t)
 
     def fold(self, word: str) -> str:
         """fold where that is a known token, else bare: in a typo, a and e may be neighbours by chance."""
@@ -164,49 +166,63 @@ def parse(name: str, login: bool, roles: Roles) -> tuple[str, str, str]:
     return "person", a, b
 
 
-def keys_of(kind: str, a: str, b: str, roles: Roles) -> Iterator[tuple[str, float, bool, bool, str]]:
-    """(key, log likelihood, as variant, as canonical form, what may be a typo) under which a name meets the names of its vault."""
+def evidence(seen: int, other: int) -> float:
+    """Log likelihood, 0 at most, that a token mentioned so often is a typo of one mentioned so often: repeated as often as no
+    typo of it would be, it is a word of its own."""
+    return 3 * min(0.0, math.log(TYPO_RATE * (other + BESIDES) / max(1, seen)))
+
+
+def keys_of(kind: str, a: str, b: str, roles: Roles, near: dict[str, list[tuple[str, float]]]) -> Iterator[tuple[str, int, float, bool, bool]]:
+    """(key, what the writer did, further log likelihood, as variant, as canonical form) under which a name meets the names of
+    its vault. near: by token what it may be a typo of, with the evidence."""
     if kind == "person":
         fulls = _SHORT.get(a, [])
-        yield f"E{a}|{b}", 0.0, True, True, ""
-        for f in fulls:
-            yield f"E{f}|{b}", NICK, True, False, ""
         g1, s1 = a.split("-")[0], b.split("-")[0]
+        yield f"E{a}|{b}", 0, 0.0, True, True
+        for f in fulls:
+            yield f"E{f}|{b}", NICK, 0.0, True, False
         for g, s in {(g1, b), (a, s1), (g1, s1)} - {(a, b)}:
-            yield f"E{g}|{s}", SHORT, False, True, ""
+            yield f"E{g}|{s}", SHORT, 0.0, False, True
+        for c, e in near.get(a, ()):
+            yield f"E{c}|{b}", TYPO, e, True, False
+        for c, e in near.get(b, ()):
+            yield f"E{a}|{c}", TYPO, e, True, False
+            for f in fulls:
+                yield f"E{f}|{c}", TYPO | NICK, e, True, False
+        unknown = a not in roles.counts and b not in roles.counts
+        if unknown or abs(roles.given(g1) - roles.given(s1)) <= 1.5:
+            yield f"E{b}|{a}", ORDER, 0.0, True, False
+        if unknown:
+            yield "O" + "|".join(sorted({a, b})), ORDER, 0.0, True, False
         # The same letters may come as a login, cut into names in another place.
-        yield "U" + (a + b).replace("-", ""), 0.0, True, True, ""
-        yield f"I{a[0]}|{b}", 0.0, False, True, ""
+        yield "U" + (a + b).replace("-", ""), 0, 0.0, True, True
+        yield f"I{a[0]}|{b}", 0, 0.0, False, True
         if s1 != b:
-            yield f"I{a[0]}|{s1}", SHORT, False, True, ""
-        for d in deletions(a):
-            yield f"G{d}|{b}", TYPO, True, True, "g"
-        for d in deletions(b):
-            yield f"S{a}|{d}", TYPO, True, True, "s"
-            for f in fulls:
-                yield f"S{f}|{d}", TYPO + NICK, True, False, "s"
-        givens = {a.replace("-", ""): 0.0, a[0]: INITIAL, **{n: NICK for n in _NICKS.get(a, [])}}
+            yield f"I{a[0]}|{s1}", SHORT, 0.0, False, True
+        givens = {a.replace("-", ""): 0, a[0]: INITIAL, **{n: NICK for n in _NICKS.get(a, [])}}
         if g1 != a:
             givens[g1] = SHORT
-        for (g, p), s in product(givens.items(), {b.replace("-", ""), s1}):
-            cost = LOGIN + p + (SHORT if s != b.replace("-", "") else 0.0)
-            yield f"U{g}{s}", cost, False, True, ""
-            yield f"U{s}{g}", cost, False, True, ""
+        for (g, did), s in product(givens.items(), {b.replace("-", ""), s1}):
+            did |= LOGIN | (SHORT if s != b.replace("-", "") else 0)
+            yield f"U{g}{s}", did, 0.0, False, True
+            yield f"U{s}{g}", did, 0.0, False, True
     elif kind == "initial":
-        yield f"I{a}|{b}", INITIAL, True, False, ""
+        yield f"I{a}|{b}", INITIAL, 0.0, True, False
+        for c, e in near.get(b, ()):
+            yield f"I{a}|{c}", INITIAL | TYPO, e, True, False
     elif kind == "login":
-        yield f"U{a}", 0.0, True, False, ""
+        yield f"U{a}", 0, 0.0, True, False
     elif kind == "org":
         words = a.split("|")
-        yield f"O{a}", 0.0, True, True, ""
+        yield f"O{a}", 0, 0.0, True, True
         for i, w in enumerate(words):
-            rest = "|".join(x for j, x in enumerate(words) if j != i)
-            for d in deletions(w):
-                yield f"T{rest}|{d}", TYPO, True, True, "o"
+            rest = [*words[:i], *words[i + 1 :]]
+            for c, e in near.get(w, ()):
+                yield "O" + "|".join(sorted({*rest, c})), TYPO, e, True, False
             if len(words) > 1:
-                for t in roles.sectors[:500]:
+                for t in roles.sectors.get(w[0], ()):
                     if t != w and abbreviates(w, t):
-                        yield "O" + "|".join(sorted({*(x for j, x in enumerate(words) if j != i), t})), ABBREVIATION, True, False, ""
+                        yield "O" + "|".join(sorted({*rest, t})), ABBREVIATION, 0.0, True, False
 
 
 def abbreviates(short: str, full: str) -> bool:
@@ -226,7 +242,7 @@ def _inside(a: str, b: str) -> bool:
 
 
 def roles(names: DataFrame) -> Roles:
-    """Roles of tokens over all names, counted in the tasks ahead of the shuffle; at most 1 / SHARE tokens reach the driver."""
+    """Roles of tokens over all names, counted in the tasks ahead of the shuffle; at most MOST_TOKENS reach the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
@@ -245,9 +261,8 @@ def roles(names: DataFrame) -> Roles:
 
     got = names.select("name", "login").mapInPandas(count, "token string, role string, n long")
     one = lambda r: F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(r)
-    got = got.groupBy("token").agg(one("g"), one("s"), one("o"), F.sum("n").alias("n"))
-    total = got.agg(F.sum("n")).first()[0] or 0
-    return Roles({r["token"]: (r["g"], r["s"], r["o"]) for r in got.filter(F.col("n") >= max(3, total * SHARE)).toLocalIterator()})
+    got = got.groupBy("token").agg(one("g"), one("s"), one("o"), F.sum("n").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "token").limit(MOST_TOKENS)
+    return Roles({r["token"]: (r["g"], r["s"], r["o"]) for r in got.toLocalIterator()})
 
 
 def spellings(classifications: DataFrame, facts: DataFrame, logins: DataFrame) -> DataFrame:
@@ -259,80 +274,125 @@ def spellings(classifications: DataFrame, facts: DataFrame, logins: DataFrame) -
     return rows.groupBy("vault", "name").agg(F.min("login").alias("login"), F.count("*").alias("n"))
 
 
+def _near(tokens: DataFrame) -> DataFrame:
+    """role, token, seen, near (tokens mentioned as often or more, of one letter more, less or other, or two swapped, with their
+    mentions). A join of distinct tokens on what is left of each without one of its letters."""
+    stats = checkpoint(tokens.groupBy("role", "token").agg(F.sum("n").alias("seen"), F.count("*").alias("nodes")))
+    less = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring(F.col("token"), F.lit(1), i - 1), F.substring(F.col("token"), i + 1, F.length("token"))))
+    cuts = F.when(F.length("token") > 2, F.array_distinct(F.concat(F.array("token"), less))).otherwise(F.array("token"))
+    left = stats.select("role", "token", "seen", F.explode(cuts).alias("cut"))
+    other = left.select("role", "cut", F.col("token").alias("other"), F.col("seen").alias("mentions"))
+    met = left.join(other, ["role", "cut"]).filter((F.col("token") != F.col("other")) & (F.col("mentions") >= F.col("seen")))
+    met = met.groupBy("role", "token").agg(F.collect_set(F.struct("other", "mentions")).alias("near"))
+    return stats.join(met, ["role", "token"], "left")
+
+
+def _likelihood(did: Column, of: dict[int, float]) -> Column:
+    return sum((F.when(did.bitwiseAND(bit) != 0, x).otherwise(0.0) for bit, x in of.items()), F.lit(0.0))
+
+
+def _posterior(met: DataFrame, of: dict[int, float]) -> DataFrame:
+    """v, c, own, posterior of the best explanation of each spelling that another form explains, against all others and itself.
+    A candidate may be a variant itself (a nickname with a typo, a short double name): candidates that lead to one form, by
+    the best explanation of each, share their weight."""
+    scored = met.withColumn("score", F.col("cprior") + F.col("more") + _likelihood(F.col("did"), of))
+    best = scored.groupBy("v").agg(F.max(F.struct("score", "c")).alias("m"), F.first("vprior").alias("own")).filter(F.col("m.score") > F.col("own") + OWN)
+    roots = _ends(best.select("v", "m.c", "own")).withColumnRenamed("v", "c")
+    at = scored.join(roots, "c", "left").withColumn("root", F.coalesce("entity", "c"))
+    at = at.groupBy("v", "root").agg(F.max(F.struct("score", "c", "did")).alias("m"), F.sum(F.exp("score")).alias("weight"), F.first("vprior").alias("own"))
+    g = at.groupBy("v").agg(F.max(F.struct("weight", "m")).alias("b"), F.sum("weight").alias("z"), F.first("own").alias("own"))
+    return g.select("v", "b.m.c", "own", (F.col("b.weight") / (F.col("z") + F.exp(F.col("own") + OWN))).alias("posterior")).filter(F.col("posterior") >= POSTERIOR)
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """v, entity: links (v to c, one each, own: the prior of v) followed to where they end, over any number of steps, by pointer
+    doubling. Of two forms that lead to each other the one of greater prior is the end; of longer rings the least form."""
+    back = links.select(F.col("c").alias("v"), F.col("v").alias("c"), F.col("own").alias("other"))
+    first = links.join(back, ["v", "c"], "left").filter(F.col("other").isNull() | (F.struct("own", "v") < F.struct(F.col("other").alias("own"), F.col("c").alias("v"))))
+    at, steps = checkpoint(first.select("v", F.col("c").alias("to"), F.least("v", "c").alias("low"))), 1
+    while True:
+        step = at.select(F.col("v").alias("to"), F.col("to").alias("next"), F.col("low").alias("below"))
+        at = checkpoint(at.join(step, "to", "left").select("v", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("below", "low")).alias("low"), F.col("next").isNotNull().alias("on")))
+        steps, on = steps * 2, at.filter("on").count()
+        # What goes on is on the way to an end, and fewer each time, or in a ring that as many steps as forms go round.
+        if on == 0 or steps > 2 * on:
+            break
+        at = at.drop("on")
+    if not on:
+        return at.select("v", F.col("to").alias("entity"))
+    ring = at.select(F.col("v").alias("to"), F.col("low").alias("ring"))
+    return at.join(ring, "to", "left").select("v", F.coalesce("ring", "to").alias("entity"))
+
+
 def entities(names: DataFrame) -> DataFrame:
     """vault, name, entity, kind, posterior: each spelling that means a person or organisation, with the canonical form it is attached to.
 
     A noisy channel: spellings are read as given name and surname, initial and surname, words of an organisation or letters of
     a login (titles, legal forms, case, accents, order and middle initials do not count). Readings met in full are candidate
     canonical forms, ranked by frequency in the vault and of their tokens in all vaults. Every reading meets candidates of its
-    vault under keys: its own, its full form of a nickname, parts of double names, one letter less (one edit or swap), its
-    abbreviations; and is attached to the one with the greatest posterior of prior and likelihood, itself included, if that
-    is at least POSTERIOR. A token that is common in all vaults is no typo of another. All joins are on the vault and a key, so
-    no vault and no family is collected. Null, blank and nobody's names (roles, placeholders, families) are left out.
+    vault under keys: its own, its full form of a nickname, parts of double names, what its rare tokens may be typos of, its
+    abbreviations; and is attached to the one of the greatest posterior, if that is at least POSTERIOR. The posterior weighs
+    prior times likelihood of all candidates and of the spelling being a name of its own. The likelihood of what writers do
+    is estimated: with first values, how many of the forms that could be written so are found to be. Links are followed to their ends.
+
+    All joins are on the vault and a key, or on distinct tokens, so no vault and no family is collected. Null, blank and
+    nobody's names (roles, placeholders, families) are left out.
     """
     names = checkpoint(names)
-    known = roles(names)
-    shared = names.sparkSession.sparkContext.broadcast(known)
+    spark = names.sparkSession
+    shared = spark.sparkContext.broadcast(roles(names))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(v, n, k, *parse(n, lo, shared.value)) for v, n, lo, k in zip(b["vault"], b["name"], b["login"], b["n"])]
             yield pd.DataFrame([x for x in out if x[3] != "none"], columns=["vault", "name", "n", "kind", "a", "b"])
 
-    read_names = checkpoint(spread(names, "vault", "name").mapInPandas(read, "vault string, name string, n long, kind string, a string, b string"))
-    nodes = read_names.groupBy("vault", "kind", "a", "b").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
-    nodes = nodes.withColumn("node", F.xxhash64("vault", "kind", "a", "b"))
-    ga = nodes.filter("kind = 'person'").groupBy("a").agg(F.count("*").alias("ta"))
-    gb = nodes.filter("kind = 'person'").groupBy("b").agg(F.count("*").alias("tb"))
-    go = nodes.filter("kind = 'org'").groupBy("a").agg(F.count("*").alias("to"))
-    nodes = nodes.join(ga, "a", "left").join(gb, "b", "left").join(go, "a", "left")
-    nodes = checkpoint(nodes.select("node", "vault", "kind", "a", "b", "n", F.when(F.col("kind") == "org", F.col("to")).otherwise(F.col("ta")).alias("ta"), F.coalesce("tb", F.lit(1)).alias("tb")))
+    read_names = spread(names, "vault", "name").mapInPandas(read, "vault string, name string, n long, kind string, a string, b string")
+    read_names = checkpoint(read_names.withColumn("node", F.xxhash64("vault", "kind", "a", "b")))
+    nodes = read_names.groupBy("node").agg(F.first("vault").alias("vault"), F.first("kind").alias("kind"), F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").alias("n"))
+    nodes = checkpoint(nodes)
+    role = lambda r, c: F.struct(F.lit(r).alias("role"), F.col(c).alias("token"))
+    of_kind = F.when(F.col("kind") == "person", F.array(role("g", "a"), role("s", "b"))).when(F.col("kind") == "initial", F.array(role("s", "b")))
+    of_kind = of_kind.when(F.col("kind") == "org", F.transform(F.split("a", "\\|"), lambda w: F.struct(F.lit("o").alias("role"), w.alias("token"))))
+    tokens = nodes.select("node", "n", F.explode(of_kind).alias("t")).select("node", "n", "t.role", "t.token")
+    facts = F.struct("role", "token", "seen", "nodes", "near")
+    told = nodes.join(tokens.drop("n").join(_near(tokens), ["role", "token"]).groupBy("node").agg(F.collect_list(facts).alias("tokens")), "node", "left")
 
     def spread_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for x in batches:
             out = []
-            for node, vault, kind, x, y in zip(b["node"], b["vault"], b["kind"], b["a"], b["b"]):
-                best: dict[tuple[str, bool, bool], tuple[float, str]] = {}
-                for key, p, var, can, typo in keys_of(kind, x, y, shared.value):
-                    k = (key, var, can)
+            for node, vault, kind, a, b, n, known in zip(x["node"], x["vault"], x["kind"], x["a"], x["b"], x["n"], x["tokens"]):
+                near, common = {}, 1.0
+                for t in known if known is not None else ():
+                    near[t["token"]] = [(o["other"], evidence(t["seen"], o["mentions"])) for o in (t["near"] if t["near"] is not None else ())]
+                    common *= t["nodes"]
+                prior = math.log(n + 1.0) + 0.3 * math.log(common + 1.0)
+                best: dict[tuple[str, bool, bool], tuple[float, int, float]] = {}
+                for key, did, more, var, can in keys_of(kind, a, b, shared.value, near):
+                    k, p = (key, var, can), more + sum(v for bit, v in LIKELIHOOD.items() if did & bit)
                     if k not in best or best[k][0] < p:
-                        best[k] = (p, typo)
-                out += [(node, vault + "\0" + key, p, var, can, typo) for (key, var, can), (p, typo) in best.items()]
-            yield pd.DataFrame(out, columns=["node", "key", "p", "variant", "canonical", "typo"])
+                        best[k] = (p, did, more)
+                out += [(node, vault + "\0" + key, prior, did, more, var, can) for (key, var, can), (_, did, more) in best.items()]
+            yield pd.DataFrame(out, columns=["node", "key", "prior", "did", "more", "variant", "canonical"])
 
-    keyed = spread(nodes, "node").mapInPandas(spread_keys, "node long, key string, p double, variant boolean, canonical boolean, typo string")
+    keyed = told.repartition(partitions(spark), "node").mapInPandas(spread_keys, "node long, key string, prior double, did int, more double, variant boolean, canonical boolean")
     keyed = checkpoint(keyed.withColumn("key", F.xxhash64("key")))
-    v = keyed.filter("variant").select("key", F.col("node").alias("v"), F.col("p").alias("pv"), F.col("typo").alias("typo"))
-    c = keyed.filter("canonical").select("key", F.col("node").alias("c"), F.col("p").alias("pc"))
-    met = v.join(c, "key").filter("v <> c").groupBy("v", "c").agg(F.max(F.struct(F.when(F.col("typo") != "", F.least("pv", "pc")).otherwise(F.col("pv") + F.col("pc")).alias("p"), "typo")).alias("m")).select("v", "c", "m.p", "m.typo")
-    nv = nodes.select(F.col("node").alias("v"), F.col("kind").alias("vkind"), F.col("n").alias("vn"), F.col("ta").alias("va"), F.col("tb").alias("vb"))
-    nc = nodes.select(F.col("node").alias("c"), F.col("n").alias("cn"), F.col("ta").alias("ca"), F.col("tb").alias("cb"))
-    met = met.join(nv, "v").join(nc, "c")
-    seen, other = F.when(F.col("typo") == "s", F.col("vb")).otherwise(F.col("va")), F.when(F.col("typo") == "s", F.col("cb")).otherwise(F.col("ca"))
-    # A typo goes from the rarer token to the commoner; a token that is not rare beside the other, and seen in three vaults, is proper.
-    downhill = (seen < other) | ((seen == other) & ((F.col("vn") < F.col("cn")) | ((F.col("vn") == F.col("cn")) & (F.col("v") < F.col("c")))))
-    proper = (seen >= 3) & (seen >= RARE * other)
-    met = met.filter((F.col("typo") == "") | (downhill & ~proper))
-    prior = F.log(F.col("cn") + 1.0) + 0.3 * F.log(F.col("ca") * F.col("cb") + 1.0)
-    met = met.withColumn("score", prior + F.col("p"))
-    best = met.groupBy("v").agg(F.max(F.struct("score", "c", "typo")).alias("m")).select("v", F.col("m.c").alias("to"))
-    # A candidate may be a variant itself (a nickname with a typo, a short double name): its own attachment is followed.
-    hop = best.select(F.col("v").alias("to"), F.col("to").alias("next"))
-    at = met.select("v", F.col("c").alias("to"), "score")
-    for _ in range(2):
-        at = at.join(hop, "to", "left").select("v", F.coalesce("next", "to").alias("to"), "score")
-    total = at.groupBy("v", "to").agg(F.max("score").alias("score"))
-    sums = total.groupBy("v").agg(F.max(F.struct("score", "to")).alias("m"), F.sum(F.exp("score")).alias("z"))
-    pick = sums.select("v", F.col("m.to").alias("to"), (F.exp("m.score") / F.col("z")).alias("posterior")).filter((F.col("posterior") >= POSTERIOR) & (F.col("to") != F.col("v")))
-    pick = checkpoint(pick)
-    # Followed to its end: a form that is attached hands its variants on.
-    link = pick.select("v", "to", "posterior")
-    step = pick.select(F.col("v").alias("to"), F.col("to").alias("next"))
-    for _ in range(3):
-        link = link.join(step, "to", "left").select("v", F.coalesce("next", "to").alias("to"), "posterior")
-    ends = nodes.join(link.withColumnRenamed("v", "node"), "node", "left").filter("kind in ('person', 'org') or to is not null")
-    ends = ends.select("vault", "kind", "a", "b", F.coalesce("to", "node").alias("entity"), F.coalesce("posterior", F.lit(1.0)).alias("posterior"))
-    return read_names.select("vault", "name", "kind", "a", "b").join(ends, ["vault", "kind", "a", "b"]).select("vault", "name", "entity", "kind", "posterior")
+    v = keyed.filter("variant").select("key", F.col("node").alias("v"), F.col("prior").alias("vprior"), F.col("did").alias("dv"), F.col("more").alias("more"))
+    c = keyed.filter("canonical").select("key", F.col("node").alias("c"), F.col("prior").alias("cprior"), F.col("did").alias("dc"))
+    met = v.join(c, "key").filter("v <> c").withColumn("did", F.col("dv").bitwiseOR(F.col("dc")))
+    best = F.max(F.struct((F.col("more") + _likelihood(F.col("did"), LIKELIHOOD)).alias("p"), "did", "more", "vprior", "cprior")).alias("m")
+    met = checkpoint(met.groupBy("v", "c").agg(best).select("v", "c", "m.did", "m.more", "m.vprior", "m.cprior"))
+    first = met.groupBy("v").agg(F.max(F.struct((F.col("cprior") + F.col("more") + _likelihood(F.col("did"), LIKELIHOOD)).alias("score"), "c", "did")).alias("m"), F.first("vprior").alias("own"))
+    seen = first.filter(F.col("m.score") > F.col("own") + OWN).select("m.did").agg(*[F.sum((F.col("did").bitwiseAND(bit) != 0).cast("long")).alias(f"d{bit}") for bit in LIKELIHOOD]).first()
+    person, org = F.col("kind") == "person", F.col("kind") == "org"
+    fits = {SHORT: person & (F.col("a").contains("-") | F.col("b").contains("-")), NICK: person & F.col("a").isin([*_NICKS, *_SHORT]), ABBREVIATION: org, TYPO: person | org}
+    could = nodes.agg(*[F.sum(fits.get(bit, person).cast("long")).alias(f"d{bit}") for bit in LIKELIHOOD]).first()
+    # Of the forms that could be written so, how many are; with few, the first values stand: each counts as ten forms.
+    estimated = {bit: math.log(((seen[f"d{bit}"] or 0) + 10 * math.exp(p)) / ((could[f"d{bit}"] or 0) + (seen[f"d{bit}"] or 0) + 10)) for bit, p in LIKELIHOOD.items()}
+    pick = checkpoint(_posterior(met, estimated))
+    ends = _ends(pick).join(pick.select("v", "posterior"), "v").withColumnRenamed("v", "node")
+    linked = read_names.select("vault", "name", "kind", "node").join(ends, "node", "left").filter("kind in ('person', 'org') or entity is not null")
+    return linked.select("vault", "name", F.coalesce("entity", "node").alias("entity"), "kind", F.coalesce("posterior", F.lit(1.0)).alias("posterior"))
 
 
 def pairs(linked: DataFrame) -> DataFrame:

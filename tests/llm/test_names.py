@@ -48,3 +48,28 @@ def test_pairs_nulls_and_empty(spark):
     s = sorted(["ANNA MUSTER", "Anna Muster", "Muster, Anna", "anna.muster"])
     assert got == {("v", a, b) for i, a in enumerate(s) for b in s[i + 1 :]}
     assert N.pairs(N.entities(N.spellings(c.limit(0), f.limit(0), l.limit(0)))).count() == 0
+
+
+def test_names_of_their_own_stay_apart(spark):
+    rows = [("v", "Hans Maier", False, 1000), ("v", "Hans Meier", False, 900), ("w", "Hans Maier", False, 50), ("w", "Hans Mbier", False, 1)]
+    assert linked(spark, rows) == [["Hans Maier"], ["Hans Maier", "Hans Mbier"], ["Hans Meier"]]
+
+
+def test_no_link_is_lost(spark):
+    assert linked(spark, [("v", "Marie-Luise Huber", False, 5), ("v", "Marieluise Huber", False, 1)]) == [["Marie-Luise Huber", "Marieluise Huber"]]
+    # A chain of ten, each a typo of the one before.
+    word, chain = list("abcdefghijklm"), []
+    for i in range(10):
+        word[i] = "z"
+        chain.append(("v", f"Anna {''.join(word).capitalize()}", False, 3 ** (9 - i)))
+    assert linked(spark, chain) == [sorted(n for _, n, *_ in chain)]
+
+
+def test_followed_links_end(spark):
+    d = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(200, 201), (201, 200), (202, 201), (300, 301), (301, 302), (302, 300), (303, 302), (304, 303)], "v long, c long").selectExpr("*", "0.0 own")
+    got = {r.v: r.entity for r in N._ends(d).collect()}
+    assert {got[i] for i in range(1, 70)} == {70} and got[200] == got.get(201, 201) == got[202] and len({got[i] for i in range(300, 305)}) == 1
+
+
+def test_evidence():
+    assert N.evidence(1, 1) == N.evidence(1, 500) == 0 and N.evidence(900, 1000) < -5 < N.evidence(2, 2)
