@@ -23,7 +23,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
     r = survivors.records(table(spark, d, "data_facts"), table(spark, d, "slot_values"))
-    return r.select("subject_id", F.to_json("fields").alias("fields"), F.to_json("facts").alias("facts"), "n_fields", "determinant", "trust")
+    return r.select("subject_id", F.to_json("fields").alias("fields"), F.to_json("facts").alias("facts"), "n_fields", "trust")
 
 
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
