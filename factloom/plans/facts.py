@@ -358,13 +358,6 @@ def s18_hand_off(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("subject_id", "property").agg(F.min("value").alias("value"), F.count_distinct("value").alias("n")).filter("n = 1").drop("n")
 
 
-@query("SELECT DISTINCT entity_id, kind, CASE kind WHEN 'policy' THEN 'insurance' WHEN 'loan' THEN 'banking' WHEN 'bank_account' THEN 'banking' WHEN 'employment' THEN 'work' WHEN 'vehicle' THEN 'mobility' ELSE 'housing' END AS folder FROM entities")
-def x34_folders(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("kind")
-    folder = F.when(k == "policy", "insurance").when(k.isin("loan", "bank_account"), "banking").when(k == "employment", "work").when(k == "vehicle", "mobility").otherwise("housing")
-    return table(spark, d, "entities").select("entity_id", "kind", folder.alias("folder")).distinct()
-
-
 @query("""WITH e AS (SELECT subject_id AS s, source_id AS t FROM slot_values WHERE source_id IS NOT NULL GROUP BY ALL) SELECT s AS entity_id, count(*) AS sources FROM e GROUP BY 1""")
 def x42_sources_of_entity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "slot_values").filter("source_id is not null").groupBy(F.col("subject_id").alias("entity_id")).agg(F.count_distinct("source_id").alias("sources"))
