@@ -198,7 +198,12 @@ def select_entries(rows: list[tuple[str, str, int]]) -> dict[str, bytes]:
     for k, t, n in rows:
         if _PLAIN.fullmatch(t) and not _INNER.search(t) and not any(n_of[u] >= 10 * n for u in chains(t).values()):
             kept[k].append(t)
-    return {k: ("\n".join(reversed(ts)) + "\n").encode()[-DICTIONARY_BYTES:] for k, ts in kept.items()}
+    out = {}
+    for k, ts in kept.items():
+        b = ("\n".join(reversed(ts)) + "\n").encode()
+        # Cut between tokens: what is left of one would be a token of its own.
+        out[k] = b if len(b) <= DICTIONARY_BYTES else b[-DICTIONARY_BYTES:].partition(b"\n")[2]
+    return out
 
 
 class Judge:
@@ -255,7 +260,7 @@ class Judge:
         pieces = _SPLIT.split(text)
         at = [i for i in range(0, len(pieces), 2) if not pieces[i].isascii()]
         lang, taken = language(text), []
-        while at and len(taken) < 4:
+        while at:
             total: Counter = Counter()
             each = {i: self.gains(lang, masked(pieces[i])) for i in at}
             for i, g in each.items():
