@@ -16,45 +16,50 @@ def retimeline(rows: DataFrame, keys: list[str], start: str = "valid_from", valu
     """Rows with an end: an open interval closes at the least later start with a different value.
 
     Equal values do not close; values with the same start do not close each other; an end that is given stays. Starts are first
-    brought to one row per key and start (days, so few even for a key with a third of all rows), then two windows find the next
-    start and the end of its run of one value. Null starts or values stay open. Order of rows does not matter.
+    brought to one row per key and start (days, so few even for a key with a third of all rows); one window, read from the last
+    start to the first, then finds the next start and where the next start's run of one value ends. Null starts or values stay
+    open. Order of rows does not matter.
     """
     ok = F.col(start).isNotNull() & F.col(value).isNotNull()
     starts = rows.filter(ok).groupBy(*keys, start).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    w = Window.partitionBy(*keys).orderBy(start)
-    single = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
-    starts = starts.withColumn("_one", single)
-    fresh = F.when(F.lag("_one").over(w).eqNullSafe(F.col("_one")) & F.col("_one").isNotNull(), 0).otherwise(1)
-    starts = starts.withColumn("_run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # The first start of the next run, for every row: the least start among the rows after, of another run.
-    firsts = starts.groupBy(*keys, "_run").agg(F.min(start).alias("_first"))
-    firsts = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_run"))).select(*keys, "_run", "_after")
-    starts = starts.withColumns({"_next": F.lead(start).over(w), "_next_one": F.lead("_one").over(w), "_next_run": F.lead("_run").over(w)})
-    after = starts.select(*keys, start, "_next", "_next_one", "_next_run").join(firsts.withColumnRenamed("_run", "_next_run"), [*keys, "_next_run"], "left")
-    joined = rows.join(after, [*keys, start], "left")
+    back = Window.partitionBy(*keys).orderBy(F.desc(start))
+    starts = starts.withColumn("_one", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))
+    starts = starts.withColumns({"_next": F.lag(start).over(back), "_next_one": F.lag("_one").over(back)})
+    # Where a run of one value ends, the start after it is what closes the run; it is carried down to the run's first start.
+    edge = F.when(~(F.col("_next_one").eqNullSafe(F.col("_one")) & F.col("_one").isNotNull()), F.struct(F.col("_next").alias("at")))
+    starts = starts.withColumn("_out", F.last(edge, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = starts.withColumn("_after", F.lag("_out.at").over(back))
+    joined = rows.join(starts.select(*keys, start, "_next", "_next_one", "_after"), [*keys, start], "left")
     close = F.when(F.col("_next_one").eqNullSafe(F.col(value)), F.col("_after")).otherwise(F.col("_next"))
     given = F.col(end) if end in rows.columns else F.lit(None).cast(rows.schema[start].dataType)
-    return joined.withColumn(end, F.coalesce(given, F.when(ok, close))).drop("_next", "_next_one", "_next_run", "_after")
+    return joined.withColumn(end, F.coalesce(given, F.when(ok, close))).drop("_next", "_next_one", "_after")
 
 
 def conflicts(rows: DataFrame, keys: list[str], id: str, start: str = "valid_from", end: str = "valid_to", value: str = "value") -> DataFrame:
-    """Ids of rows that overlap another of their keys with a different value; null-safe on the keys, an unknown start overlaps all.
+    """Ids of rows that overlap another of their keys with a different value; null-safe on the keys, an unknown start or end is open.
 
-    Only distinct intervals meet, on the keys, never rows.
+    A sweep over the points of the distinct intervals, no pairs: an interval meets as many as begin before its end less those
+    that end by its start. Counted among all values and among its own; where these differ, it meets another value. The windows
+    keep running counts only, so a key with very many intervals takes sorting, not squares. Intervals that end by their start
+    (only where the rows say so) do not fit the count and meet the others in a join of their own.
     """
-    spans = rows.filter(F.col(value).isNotNull()).select(*keys, start, end, value).distinct()
-    a, b = spans.alias("a"), spans.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    before = lambda x, y: F.col(f"{x}.{start}").isNull() | F.col(f"{y}.{end}").isNull() | (F.col(f"{x}.{start}") < F.col(f"{y}.{end}"))
-    hit = a.join(b, on & (F.col(f"a.{value}") != F.col(f"b.{value}")) & before("a", "b") & before("b", "a"), "left_semi")
-    same_row = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*keys, start, end, value)]
-    on = same_row[0]
-    for c in same_row[1:]:
-        on = on & c
-    return rows.alias("r").join(hit.alias("h"), on, "left_semi").select(id)
+    place = lambda c, unknown: F.struct(F.when(F.col(c).isNull(), unknown).otherwise(1).alias("f"), F.col(c).alias("v"))
+    cols = [*keys, "_v", "_a", "_z"]
+    own = rows.withColumns({"_v": F.col(value), "_a": place(start, 0), "_z": place(end, 2)})
+    spans = own.filter("_v is not null").select(*cols).distinct()
+    proper, odd = spans.filter("_a < _z"), spans.filter("not (_a < _z)")
+    # At one place ends come ahead of starts: who ends there is past, who begins there is not yet met.
+    points = proper.select("*", F.explode(F.array(F.struct(F.col("_a").alias("at"), F.lit(True).alias("begins")), F.struct(F.col("_z").alias("at"), F.lit(False).alias("begins")))).alias("_p"))
+    count = lambda by: {True: F.sum((~F.col("_p.begins")).cast("long")).over(by), False: F.sum(F.col("_p.begins").cast("long")).over(by)}
+    over = lambda *by: Window.partitionBy(*by).orderBy("_p.at", "_p.begins").rowsBetween(Window.unboundedPreceding, 0)
+    every, same = count(over(*keys)), count(over(*keys, "_v"))
+    seen = points.withColumn("_same", F.when(F.col("_p.begins"), same[True]).otherwise(same[False])).withColumn("_all", F.when(F.col("_p.begins"), every[True]).otherwise(every[False]))
+    other = F.sum((F.col("_all") - F.col("_same")) * F.when(F.col("_p.begins"), -1).otherwise(1)).alias("_n")
+    hit = seen.groupBy(*cols).agg(other).filter("_n > 0").select(*cols)
+    safe = lambda x, y, names: F.lit(True) if not names else safe(x, y, names[1:]) & F.col(f"{x}.{names[0]}").eqNullSafe(F.col(f"{y}.{names[0]}"))
+    meets = safe("a", "b", keys) & (F.col("a._v") != F.col("b._v")) & (F.col("a._a") < F.col("b._z")) & (F.col("b._a") < F.col("a._z"))
+    hit = hit.unionByName(spans.alias("a").join(odd.alias("b"), meets, "left_semi")).unionByName(odd.alias("a").join(proper.alias("b"), meets, "left_semi")).distinct()
+    return own.alias("r").join(hit.alias("h"), safe("r", "h", cols), "left_semi").select(id)
 
 
 def resolve(rows: DataFrame, keys: list[str], day: Column, many: bool = False, value: str = "value", kind: str = "kind", start: str = "valid_from", end: str = "valid_to") -> DataFrame:

@@ -167,3 +167,21 @@ def test_request_bounds():
         with pytest.raises(ValueError):
             filters.check_request(**bad)
     filters.check_request("ok", 3, 30, 5)
+
+
+def test_conflicts_of_turned_and_open_intervals_against_brute_force(spark):
+    rng = random.Random(11)
+    data = [(i, rng.choice(["a", None]), rng.choice([None, *range(8)]), rng.choice([None, *range(8)]), rng.choice("xyz")) for i in range(120)]
+    d = spark.createDataFrame(data, "id int, k string, valid_from int, valid_to int, value string")
+    lo, hi = (lambda x: -1 if x is None else x), (lambda x: 99 if x is None else x)
+    want = {p[0] for p in data for q in data if p[1] == q[1] and p[4] != q[4] and lo(p[2]) < hi(q[3]) and lo(q[2]) < hi(p[3])}
+    assert {r.id for r in timeline.conflicts(d, ["k"], "id").collect()} == want
+
+
+def test_a_key_of_very_many_intervals_ends(spark):
+    """Squares of 100 000 intervals would not end: one value after the other, and one that overlaps its neighbours."""
+    n = 100_000
+    d = spark.range(n).selectExpr("id", "'k' k", "id * 10 valid_from", "id * 10 + if(id = 5000, 15, 10) valid_to", "cast(id as string) value")
+    assert {r.id for r in timeline.conflicts(d, ["k"], "id").collect()} == {5000, 5001}
+    closed = timeline.retimeline(d.drop("valid_to"), ["k"])
+    assert closed.filter("valid_to = valid_from + 10").count() == n - 1
