@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import deque
 from datetime import date
+from itertools import accumulate
 from typing import NamedTuple
 
 from factloom.functions.scalars import IBAN_LENGTHS
@@ -251,20 +254,34 @@ def clean(found: list[Candidate]) -> list[Candidate]:
             seen.add((c.start, c.end, c.kind))
             once.append(c)
     specific = [c for c in once if c.kind not in GENERIC]
-    spans = sorted((c.start, c.end) for c in specific)
+    starts = sorted(c.start for c in specific)
+    begun, reach = set(starts), list(accumulate((c.end for c in sorted(specific, key=lambda c: c.start)), max))
+
+    def met(c: Candidate) -> bool:
+        """Whether a specific candidate overlaps: of those that begin before its end, the farthest reach decides."""
+        n = bisect_left(starts, c.end)
+        return n > 0 and reach[n - 1] > c.start
+
     out = []
     labels: dict[tuple[int, int], str] = {}
     for c in once:
-        if c.kind in GENERIC and c.kind != "cell" and any(a < c.end and c.start < b for a, b in spans):
+        if c.kind in GENERIC and c.kind != "cell" and met(c):
             if c.label:
                 labels[c.start, c.end] = c.label
             continue
         if c.kind == "cell":
             labels.setdefault((c.start, c.end), c.label or "")
-            if any(a == c.start or a < c.end and c.start < b for a, b in spans):
+            if c.start in begun or met(c):
                 continue
         out.append(c)
-    out = [c if c.label else c._replace(label=next((v for (a, b), v in labels.items() if v and a <= c.start and c.end <= b), None)) for c in out]
+    # Both come in the order of their starts: a label whose end is passed holds no later candidate.
+    named, todo, still = [], deque((a, b, v) for (a, b), v in labels.items() if v), []
+    for c in out:
+        while todo and todo[0][0] <= c.start:
+            still.append(todo.popleft())
+        still = [x for x in still if x[1] >= c.start]
+        named.append(c if c.label else c._replace(label=next((v for _, b, v in still if c.end <= b), None)))
+    out = named
     if len(out) > MOST:
         best = sorted(out, key=lambda c: (not c.checksum, c.label is None, rank[c.kind], c.start))[:MOST]
         out = sorted(best, key=lambda c: (c.start, rank[c.kind], -c.end))

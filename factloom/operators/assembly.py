@@ -80,12 +80,6 @@ def sections(rows: DataFrame, id: str, group: str, text: str, size: int = 12_000
     return b.select(group, F.col("batch").alias("section"), id).unionByName(again)
 
 
-def resolved_entities(values: DataFrame, keys: list[str], scope: str = "vault") -> DataFrame:
-    """entity key of rows: the first of the identifier columns, in order, that is not null, with its name and scope; null without any."""
-    named = [F.when(F.col(k).isNotNull() & (F.trim(k) != ""), F.concat_ws("@", F.concat_ws(":", F.lit(k), scalars.normalize_identifier(F.col(k))), F.col(scope))) for k in keys]
-    return values.withColumn("entity_key", F.sha2(F.coalesce(*named), 256))
-
-
 def current(rows: DataFrame, id: str = "id", supersedes: str = "supersedes", accepted: str = "accepted") -> DataFrame:
     """id, current: an accepted row itself, else the least accepted row that supersedes it, else null."""
     s = rows.filter(F.col(accepted) & F.col(supersedes).isNotNull()).groupBy(supersedes).agg(F.min(id).alias("_by")).withColumnRenamed(supersedes, "_old")

@@ -21,7 +21,16 @@ def grounded(quote: Column, text: Column) -> Column:
     Whole words: no letter or digit next to it, no digit mark that would split a number, no lost sign before a digit."""
     esc = lambda x: F.regexp_replace(x, r"([\\\[\]{}()*+?.^$|])", r"\\$1")
     whole = lambda q, t: (F.length(q) > 0) & F.contains(t, q) & F.regexp_like(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<![0-9][.,])(?<!-(?=[0-9]))"), esc(q), F.lit(r"(?![\p{L}\p{N}])(?![.,][0-9])")))
-    return F.when(whole(quote, text), "exact").when(whole(squeeze(quote), squeeze(text)), "spaced")
+
+    def first(q: Column, t: Column) -> Column:
+        """The same for the quote's first place alone, without a pattern for each row."""
+        at = F.instr(t, q)
+        before, after = F.substring(t, F.greatest(at - 2, F.lit(1)), F.least(at - 1, F.lit(2))), F.substring(t, at + F.length(q), 2)
+        split = before.rlike(r"[\p{L}\p{N}]$|[0-9][.,]$") | (F.endswith(before, F.lit("-")) & q.rlike("^[0-9]"))
+        return (F.length(q) > 0) & (at > 0) & ~split & ~after.rlike(r"^[\p{L}\p{N}]|^[.,][0-9]")
+
+    fits = lambda q, t: first(q, t) | whole(q, t)
+    return F.when(fits(quote, text), "exact").when(fits(squeeze(quote), squeeze(text)), "spaced")
 
 
 def ground(facts: DataFrame, segments: DataFrame) -> DataFrame:
@@ -42,9 +51,7 @@ def merge_same(facts: DataFrame) -> DataFrame:
     """One row per source, property, normalised value and subject: its least fact_id, number of rows, first slot and longest context."""
     norm = lambda c: F.lower(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]", ""))
     f = facts.dropDuplicates(["fact_id"]).withColumns({"_v": norm("value"), "_s": norm("subject_quote")}).filter("_v is not null")
-    slot = F.min(F.struct("fact_id", F.col("slot").alias("s"))).alias
     g = f.groupBy("source_id", "property", "_v", "_s").agg(F.min("fact_id").alias("fact_id"), F.count("*").alias("n"), F.min(F.when(F.coalesce(F.trim("slot"), F.lit("")) != "", F.struct("fact_id", "slot"))).alias("sl"), F.max(F.struct(F.length("context_quote").alias("l"), "context_quote")).alias("cx"))
-    del slot
     return g.select("source_id", "property", "fact_id", "n", F.col("sl.slot").alias("slot"), F.col("cx.context_quote").alias("context_quote"))
 
 

@@ -35,7 +35,7 @@ def cut(text: str, size: int = 1600, least: int = 800, at_lines: bool = True) ->
         b = min(len(raw), a + size)
         while b < len(raw) and raw[b] & 0xC0 == 0x80:
             b -= 1
-        if at_lines and b < len(raw) and (n := raw.rfind(b"\n", a + least, b)) >= 0:
+        if at_lines and b < len(raw) and (n := raw.rfind(b"\n", a + least + 1, b)) >= 0:
             b = n + 1
         out.append(raw[a:b].decode())
         a = b

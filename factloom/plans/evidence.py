@@ -133,14 +133,6 @@ def v22_letterhead(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parts").filter("text is not null").select("segment_id", F.array_join(F.slice(F.split("text", "\n"), 1, 12), "\n").alias("head")).distinct()
 
 
-@query("""WITH k AS (SELECT DISTINCT value_id, vault, CASE WHEN slot = 'meter_number' THEN 'meter:' WHEN slot = 'contract_number' THEN 'contract:' ELSE 'staff:' END || upper(regexp_replace(value_text, '[^\\p{L}\\p{N}]', '', 'g')) AS key FROM slot_values WHERE value_type = 'identifier' AND value_text IS NOT NULL) SELECT vault, key, min(value_id) AS entity, count(*) AS n FROM k GROUP BY ALL""")
-def x16_resolved_entities(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "slot_values").filter("value_type = 'identifier' and value_text is not null").select("value_id", "vault", "slot", "value_text").dropDuplicates(["value_id"])
-    kind = F.when(F.col("slot") == "meter_number", "meter:").when(F.col("slot") == "contract_number", "contract:").otherwise("staff:")
-    k = v.select("value_id", "vault", F.concat(kind, scalars.normalize_identifier(F.col("value_text"))).alias("key"))
-    return k.groupBy("vault", "key").agg(F.min("value_id").alias("entity"), F.count("*").alias("n"))
-
-
 @query("""WITH r AS (SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN event_id - 3 END AS supersedes, event_id % 2 = 0 AS accepted FROM events), s AS (SELECT supersedes AS old, min(id) AS by_id FROM r WHERE accepted AND supersedes IS NOT NULL GROUP BY 1) SELECT id, CAST(CASE WHEN accepted THEN id ELSE by_id END AS VARCHAR) AS current FROM r LEFT JOIN s ON old = id""")
 def x20_current(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")

@@ -143,8 +143,13 @@ def odt(data: bytes) -> str:
     return _xml_text(_zip_text(data, "content.xml"), {"p", "h"}, {"p", "h", "line-break"}, {"tab"}, {"tracked-changes", "annotation"}, True)
 
 
+class TooMuch(ValueError):
+    """A mail beyond the bounds, which is refused as a whole."""
+
+
 def mail(data: bytes, depth: int = 0) -> list[tuple[str, str]]:
-    """(section, text) of a mail: header, bodies, HTML that adds text, attachments that can be parsed, mails within to a depth."""
+    """(section, text) of a mail: header, bodies, HTML that adds text, attachments that can be parsed, mails within. An attachment
+    that cannot be read has a section "unreadable" with the reason. TooMuch for more parts, attachments or depth than allowed."""
     m = email.message_from_bytes(data, policy=email.policy.default)
     head = "\n".join(f"{k}: {m[k]}" for k in ("From", "To", "Cc", "Date", "Subject") if m[k])
     out = [("header", head)] if head else []
@@ -156,24 +161,29 @@ def mail(data: bytes, depth: int = 0) -> list[tuple[str, str]]:
         part = stack.pop(0)
         n += 1
         if n > MAX_MAIL_PARTS:
-            break
+            raise TooMuch("too many parts in a mail")
         kind = part.get_content_type()
         if part.is_multipart() and kind != "message/rfc822":
             stack = [*part.iter_parts(), *stack]
             continue
         name = part.get_filename()
         if kind == "message/rfc822":
-            if depth < MAX_MAIL_DEPTH:
-                inner = part.get_payload(0)
-                out += [("attachment " + s, t) for s, t in mail(inner.as_bytes(), depth + 1)]
+            if depth >= MAX_MAIL_DEPTH:
+                raise TooMuch("mails too deep within mails")
+            inner = part.get_payload(0)
+            out += [("attachment " + s, t) for s, t in mail(inner.as_bytes(), depth + 1)]
         elif name or part.get_content_disposition() == "attachment":
             attachments += 1
             ext = (name or "").rpartition(".")[2].lower()
-            if attachments <= MAX_ATTACHMENTS and ext in PARSED and (body := part.get_payload(decode=True)):
+            if attachments > MAX_ATTACHMENTS:
+                raise TooMuch("too many attachments")
+            if ext in PARSED and (body := part.get_payload(decode=True)):
                 try:
                     out += [(f"attachment {name}", t) for _, t in parse(ext, body, depth + 1)]
-                except (ValueError, KeyError, zipfile.BadZipFile, expat.ExpatError):
-                    continue
+                except TooMuch:
+                    raise
+                except (ValueError, KeyError, zipfile.BadZipFile, expat.ExpatError) as e:
+                    out.append((f"unreadable {name}", str(e)))
         elif kind == "text/plain":
             t = part.get_content().strip()
             if t:
@@ -194,7 +204,9 @@ def parse(extension: str, data: bytes, depth: int = 0) -> list[tuple[str, str]]:
     if extension in ("txt", "md", "csv", "tsv", "log"):
         parts = [("text", plain(data))]
     elif extension == "eml":
-        parts = mail(data, depth) if depth <= MAX_MAIL_DEPTH else []
+        if depth > MAX_MAIL_DEPTH:
+            raise TooMuch("mails too deep within mails")
+        parts = mail(data, depth)
     elif extension in ("html", "htm"):
         parts = [("text", html(data.decode("utf-8", "replace")))]
     elif extension == "docx":

@@ -29,8 +29,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder in spark.checkpoint.dir; survives lost executors and cuts the lineage.
-    A folder of this machine is set only where the session names none, as in tests."""
+    A folder of this machine is set only in local mode where the session names none, as in tests; a cluster must name one."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint(eager=True)

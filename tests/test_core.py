@@ -185,3 +185,33 @@ def test_a_key_of_very_many_intervals_ends(spark):
     assert {r.id for r in timeline.conflicts(d, ["k"], "id").collect()} == {5000, 5001}
     closed = timeline.retimeline(d.drop("valid_to"), ["k"])
     assert closed.filter("valid_to = valid_from + 10").count() == n - 1
+
+
+def test_clean_against_pairwise_rules():
+    """The sweep keeps and labels what comparing every candidate with every other does."""
+    from factloom.functions import scanner as sc
+
+    rng = random.Random(6)
+    kinds = list(sc.ORDER)
+    for _ in range(150):
+        found = []
+        for _ in range(rng.randint(0, 14)):
+            a = rng.randint(0, 25)
+            found.append(sc.Candidate(rng.choice(kinds), "x", a, a + rng.randint(1, 9), 1, "x", rng.choice([None, None, "l1", "l2"]), rng.choice([None, True])))
+        rank = {k: i for i, k in enumerate(sc.ORDER)}
+        once = list({(c.start, c.end, c.kind): c for c in reversed(sorted(found, key=lambda c: (c.start, rank[c.kind], -c.end)))}.values())[::-1]
+        spans = [(c.start, c.end) for c in once if c.kind not in sc.GENERIC]
+        out, labels = [], {}
+        for c in sorted(once, key=lambda c: (c.start, rank[c.kind], -c.end)):
+            meets = any(a < c.end and c.start < b for a, b in spans)
+            if c.kind in sc.GENERIC and c.kind != "cell" and meets:
+                if c.label:
+                    labels[c.start, c.end] = c.label
+                continue
+            if c.kind == "cell":
+                labels.setdefault((c.start, c.end), c.label or "")
+                if meets or any(a == c.start for a, _ in spans):
+                    continue
+            out.append(c)
+        want = [c if c.label else c._replace(label=next((v for (a, b), v in labels.items() if v and a <= c.start and c.end <= b), None)) for c in out]
+        assert sc.clean(found) == want
