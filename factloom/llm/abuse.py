@@ -19,6 +19,7 @@ HEADS = ("abusive", "hateful", "sexual")
 #: Feature space, and the most labelled documents a model is fitted on (those of the least hash of their id) with the most
 #: bytes of their features.
 BITS, MOST_LABELLED, MOST_BYTES = 17, 8_000, 1 << 26
+_MASK = (1 << BITS) - 1
 #: Labelled cases a feature must come in to have a weight: what a single document holds is its own names and amounts.
 SUPPORT = 2
 #: Out-of-fold probabilities beyond which a label against them counts as wrong and is left out of the last fit, by the share
@@ -42,9 +43,12 @@ _AGAIN = re.compile(r"([^\W\d_])\1{2,}")
 # Only texts with one of these can change: a letter between marks or blanks, a digit or sign by a letter, a letter thrice.
 _SUSPECT = re.compile(r"(?<![^\W_])[^\W\d_][.\-_*·•| ][^\W\d_](?![^\W_])|[^\W\d_][\d@$!|€*#]|[\d@$!|€][^\W\d_]|([^\W\d_])\1\1")
 _HIDDEN_ALIKE = {**_HIDDEN, **_LOOKALIKE}
+_HAS_HIDDEN_ALIKE = re.compile("[" + "".join(re.escape(chr(c)) for c in _HIDDEN_ALIKE) + "]")
 _NUMBERS = re.compile(r"(?<!\w)\d+(?!\w)")
 _DIGITS = re.compile(r"\d")
-_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))) + "]+")
+_marks = lambda a, z: re.compile("[" + "".join(chr(c) for c in range(a, z) if unicodedata.combining(chr(c))) + "]+")
+# Combining marks; those beyond the first plane apart, as a class of both is searched far more slowly.
+_MARKS, _FAR_MARKS, _FAR = _marks(0x300, 0x10000), _marks(0x10000, 0x20000), re.compile("[\U00010000-\U0010ffff]")
 _ENDS = re.compile(r"(?<=[.!?…])[\"'»“”)]*\s+|\n+")
 _SPEAKER = re.compile(r"^\s*(?:\[[^\]]{1,12}\]\s*)?(?:[A-ZÄÖÜÉ][\w-]{1,30}:\s+)?")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[!?]+|[\"„“”«»]")
@@ -55,13 +59,17 @@ def plain(text: str) -> str:
     repeated letters undone; lower case without accents."""
     t = text
     if not t.isascii():
-        t = unicodedata.normalize("NFKC", t).translate(_HIDDEN_ALIKE)
+        t = unicodedata.normalize("NFKC", t)
+        t = t.translate(_HIDDEN_ALIKE) if _HAS_HIDDEN_ALIKE.search(t) else t
     if _SUSPECT.search(t):
         t = _SPREAD.sub(lambda m: re.sub(r"[.\-_*·•| ]", "", m.group()), t)
         t = _LEET_WORD.sub(lambda m: m.group().translate(_LEET) if sum(c.isalpha() for c in m.group()) * 5 >= len(m.group()) * 2 else m.group(), t)
         t = _STAR.sub("", _AGAIN.sub(r"\1\1", t))
     t = t.lower()
-    return t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", t))
+    if t.isascii():
+        return t
+    t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+    return _FAR_MARKS.sub("", t) if _FAR.search(t) else t
 
 
 def sentences(text: str) -> list[str]:
@@ -82,7 +90,7 @@ def sentences(text: str) -> list[str]:
 
 
 def _hash(name: str) -> int:
-    return crc32(name.encode()) & ((1 << BITS) - 1)
+    return crc32(name.encode()) & _MASK
 
 
 @lru_cache(maxsize=100_000)
@@ -103,8 +111,8 @@ def features(sentence: str) -> np.ndarray:
     out: list[int] = []
     for x in w:
         out += _word_features(x)
-    out += [_hash(f"b{a} {b}") for a, b in zip(["^", *w], [*w, "$"])]
-    out += [_hash(f"s{a} {b}") for a, b in zip(w, w[2:])]
+    out += [crc32(f"b{a} {b}".encode()) & _MASK for a, b in zip(["^", *w], [*w, "$"])]
+    out += [crc32(f"s{a} {b}".encode()) & _MASK for a, b in zip(w, w[2:])]
     return np.unique(np.array(out, dtype=np.int32))
 
 
@@ -215,10 +223,16 @@ def train(y: np.ndarray, run: Callable[[list[Job]], list[Fitted]]) -> tuple[np.n
 
 def sentence_scores(fs: list[np.ndarray], w: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Probability of each sentence (rows) under each head."""
-    out, rows = np.empty((len(fs), len(b))), w.T  # the fit hands weights over feature by feature
-    for i, f in enumerate(fs):
-        out[i] = rows[f].sum(axis=0) * (3.0 * max(1.0, len(f)) ** -0.5) + b
-    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+    rows = w.T  # the fit hands weights over feature by feature
+    sizes = np.array([len(f) for f in fs])
+    out = np.zeros((len(fs), len(b)))
+    some = np.flatnonzero(sizes)
+    # By blocks of sentences: one gather and one sum for all of a block.
+    for i in range(0, len(some), 4096):
+        at = some[i : i + 4096]
+        n = sizes[at]
+        out[at] = np.add.reduceat(rows[np.concatenate([fs[k] for k in at])], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) * (3.0 * n**-0.5)[:, None]
+    return 1 / (1 + np.exp(-np.clip(out + b, -30, 30)))
 
 
 def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
@@ -281,32 +295,30 @@ def scores(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
         w, b, threshold = shared.value
         w = np.ascontiguousarray(w.T).T
         known: dict[str, np.ndarray] = {}
-        verbatim: dict[str, np.ndarray] = {}
-
-        def of(sentence: str) -> np.ndarray:
-            p = verbatim.get(sentence)
-            if p is not None:
-                return p
-            if len(verbatim) > 50_000:
-                verbatim.clear()
-            # Numbers are all one word, so sentences that differ in them alone are one.
-            body = _NUMBERS.sub("0", _SPEAKER.sub("", sentence, count=1))
-            p = known.get(body)
-            if p is None:
-                if len(known) > 50_000:
-                    known.clear()
-                p = known[body] = sentence_scores([features(body)], w, b)[0]
-            verbatim[sentence] = p
-            return p
+        bodies: dict[str, str] = {}
+
+        def learn(sentences: set[str]) -> None:
+            """Scores of all sentences of a batch that are not known yet, at once. Numbers are all one word, so sentences that
+            differ in them alone are one."""
+            for s in sentences:
+                if s not in bodies:
+                    bodies[s] = _NUMBERS.sub("0", _SPEAKER.sub("", s, count=1))
+            new = list({bodies[s] for s in sentences} - known.keys())
+            if new:
+                known.update(zip(new, sentence_scores([features(x) for x in new], w, b)))
 
         for x in batches:
+            if len(bodies) > 50_000:
+                bodies.clear()
+                known.clear()
+            texts = [sentences(text) if text else [] for text in x["text"]]
+            learn({s for ss in texts for s in ss})
             out = []
-            for doc, source, text in zip(x["doc_id"], x["source"], x["text"]):
-                ss = sentences(text) if text else []
+            for doc, source, ss in zip(x["doc_id"], x["source"], texts):
                 if not ss:
                     out.append((doc, source, 0.0, 0.0, 0.0, 0.0, False, None, None))
                     continue
-                p = np.array([of(s) for s in ss])
+                p = np.array([known[bodies[s]] for s in ss])
                 heads = noisy_or(p)
                 worst = int(np.argmax(p[:, -1]))
                 out.append((doc, source, *map(float, heads), bool(heads[-1] >= threshold), worst, ss[worst]))

@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import pandas as pd
@@ -40,6 +41,7 @@ MOST_TOKENS = 200_000
 #: What writers do, as bits of a number, and the log likelihood of each ahead of its estimation from the names themselves.
 TYPO, NICK, SHORT, INITIAL, LOGIN, ABBREVIATION, ORDER = (1 << i for i in range(7))
 LIKELIHOOD = {TYPO: -3.0, NICK: -1.5, SHORT: -1.5, INITIAL: -2.0, LOGIN: -1.0, ABBREVIATION: -1.5, ORDER: -1.0}
+_LIKELY = [sum(p for bit, p in LIKELIHOOD.items() if did & bit) for did in range(ORDER << 1)]
 #: Log prior that a spelling which another form explains is a name of its own, and the least posterior of an attachment.
 OWN, POSTERIOR = -5.0, 0.6
 #: Share of a token's mentions that are one and the same typo of it, at most; mentions that each token is taken to have besides.
@@ -49,12 +51,14 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _UMLAUT = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o"})
 
 
+@lru_cache(maxsize=100_000)
 def bare(text: str) -> str:
     """Lower case without accents, umlauts as the plain vowel."""
     t = unicodedata.normalize("NFKD", text.lower().translate(_UMLAUT))
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=100_000)
 def fold(text: str) -> str:
     """bare, with the spellings of umlauts with e as the plain vowel too."""
     return bare(text).replace("ae", "a").replace("oe", "o").replace("ue", "u")
@@ -369,7 +373,7 @@ def entities(names: DataFrame) -> DataFrame:
                 prior = math.log(n + 1.0) + 0.3 * math.log(common + 1.0)
                 best: dict[tuple[str, bool, bool], tuple[float, int, float]] = {}
                 for key, did, more, var, can in keys_of(kind, a, b, shared.value, near):
-                    k, p = (key, var, can), more + sum(v for bit, v in LIKELIHOOD.items() if did & bit)
+                    k, p = (key, var, can), more + _LIKELY[did]
                     if k not in best or best[k][0] < p:
                         best[k] = (p, did, more)
                 out += [(node, vault + "\0" + key, prior, did, more, var, can) for (key, var, can), (_, did, more) in best.items()]
