@@ -158,9 +158,9 @@ def x33_history(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def x35_retrieval(spark: SparkSession, d: str) -> DataFrame:
     p = checkpoint(table(spark, d, "parts").select("segment_id", "source_id", "text").dropDuplicates(["segment_id"]))
-    hits = None
+    hits, index = None, search.index_of(p, "segment_id", "text", d)
     for k, text in enumerate(("Miete", "Heizung Wartung", "contract")):
-        h = search.search(p, "segment_id", "text", text, 6).select(F.col("id").alias("segment_id"), F.lit(k).alias("query_no"), "rank")
+        h = search.search(index, text, 6).select(F.col("id").alias("segment_id"), F.lit(k).alias("query_no"), "rank")
         hits = h if hits is None else hits.unionByName(h)
     return assembly.retrieval(hits.join(p.select("segment_id", "source_id"), "segment_id"))
 

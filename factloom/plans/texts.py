@@ -69,10 +69,20 @@ def s15_index_terms(spark: SparkSession, d: str) -> DataFrame:
   r AS (SELECT id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / av)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / av)), 6) AS score FROM h, s WHERE a > 0 AND b > 0)
   SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r ORDER BY score DESC, id LIMIT 30""")
 def fts_search(spark: SparkSession, d: str) -> DataFrame:
-    r = search.search(table(spark, d, "documents"), "doc_id", "text", "Miet Heizung")
+    r = search.search(search.index_of(table(spark, d, "documents"), "doc_id", "text", d), "Miet Heizung")
     return r.select("id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""WITH t AS (SELECT doc_id AS id, text, translate(lower(text), 'äöüàáâãåèéêëìíîïòóôõùúûýÿñç', 'aouaaaaaeeeeiiiioooouuuyync') AS p, {_TS} AS ts FROM documents WHERE text IS NOT NULL), h AS (SELECT id, text, p, len(ts) AS l, len(list_filter(ts, lambda x: starts_with(x, 'kundig'))) AS a FROM t),
+  s AS (SELECT count(*) AS n, avg(l) AS av, sum((a > 0)::INT) AS da FROM h), r AS (SELECT id, text, p, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / av)), 6) AS score FROM h, s WHERE a > 0),
+  k AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank, count(*) OVER () > 5 AS more FROM r)
+  SELECT id, rank, more, substr(text, greatest(length(regexp_extract(p, '^(.*?(?:^|[^a-z0-9]))kundig', 1, 's')) + 1 - 100, 1)::BIGINT, 500) AS excerpt FROM k WHERE rank <= 5""")
+def fts_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    hits = search.search(search.index_of(docs, "doc_id", "text", d), "Kündig", 5).select("id", F.col("rank").cast("long").alias("rank"), "more")
+    return search.excerpts(hits, docs, "doc_id", "text", "Kündig")
+
+
 @query(r"SELECT DISTINCT name, trim(regexp_replace(replace(replace(replace(replace(lower(name), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM issuers")
 def v1_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "issuers").select("name", scalars.normalize_name(F.col("name")).alias("norm")).distinct()

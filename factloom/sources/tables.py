@@ -27,13 +27,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *(keys or (F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]),)))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder in spark.checkpoint.dir; survives lost executors and cuts the lineage.
-    A folder of this machine is set only in local mode where the session names none, as in tests; a cluster must name one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. A folder of this machine is taken only in local mode where
+    the session names none, as in tests; a cluster must name one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder; survives lost executors and cuts the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

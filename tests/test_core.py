@@ -215,3 +215,25 @@ def test_clean_against_pairwise_rules():
             out.append(c)
         want = [c if c.label else c._replace(label=next((v for (a, b), v in labels.items() if v and a <= c.start and c.end <= b), None)) for c in out]
         assert sc.clean(found) == want
+
+
+def test_search_of_a_stored_index(spark, tmp_path):
+    from factloom.operators import search
+
+    docs = spark.createDataFrame([(1, "Die Miete und die Heizung"), (2, "Mietvertrag, Heizungswartung, Miete"), (3, "nur Miete"), (4, None), (5, ""), (6, "x " * 400 + "HEIZÜNG miete " + "y " * 400)], "doc_id long, text string")
+    search.write_index(docs, "doc_id", "text", str(tmp_path))
+    index = search.read_index(spark, str(tmp_path))
+    got = [(r.id, r.rank, r.more) for r in search.search(index, "miet heiz", 2).collect()]
+    assert [g[0] for g in got] == [2, 1] and [g[1] for g in got] == [1, 2] and all(g[2] for g in got)
+    hits = search.search(index, "heizung miete")
+    assert {r.id for r in hits.collect()} == {1, 2, 6} and not hits.first().more
+    e = {r.id: r.excerpt for r in search.excerpts(hits, docs, "doc_id", "text", "heizung").collect()}
+    assert len(e[6]) == 500 and e[6][100:107] == "HEIZÜNG" and e[1] == "Die Miete und die Heizung"
+    assert search.search(index, " ,; ").count() == 0 and search.search(index, "fehlt").count() == 0
+    with pytest.raises(ValueError):
+        search.search(index, "x" * 100_000)
+    # Same scores as without the files.
+    whole = search.Index(search.postings(docs, "doc_id", "text").withColumn("bucket", F.substring("term", 1, 1)), index.size)
+    assert sorted(map(tuple, search.search(whole, "miet").collect())) == sorted(map(tuple, search.search(index, "miet").collect()))
+    plan = search.search(index, "miet")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "StringStartsWith(term,miet)" in plan
