@@ -181,3 +181,12 @@ def v16_category_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT segment_id, substr(md5(coalesce('=' || source_id, '-') || chr(31) || coalesce('=' || text, '-')), 1, 16) AS version FROM (SELECT DISTINCT segment_id, source_id, text FROM parts)")
 def v21_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parts").select("segment_id", "source_id", "text").distinct().select("segment_id", resolution.fingerprint(F.col("source_id"), F.col("text")).alias("version"))
+
+
+@query("""WITH s AS (SELECT 'employer-' || (i % 12) AS subject_id, CAST(3000 + i AS VARCHAR) AS value, make_date(2000 + i // 12, i % 12 + 1, 1) AS valid_from FROM range(1000) AS t(i))
+  SELECT subject_id, value, CAST(valid_from AS VARCHAR) AS valid_from, CAST(lead(valid_from) OVER (PARTITION BY subject_id ORDER BY valid_from) AS VARCHAR) AS valid_to FROM s""")
+def t2_thousand_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The scale test of the survey: a thousand payslips of twelve employers, brought to closed timelines."""
+    i = F.col("id")
+    s = spark.range(1000).select(F.concat(F.lit("employer-"), i % 12).alias("subject_id"), (i + 3000).cast("string").alias("value"), F.make_date((i / 12).cast("int") + 2000, (i % 12 + 1).cast("int"), F.lit(1)).alias("valid_from"))
+    return timeline.retimeline(s, ["subject_id"]).select("subject_id", "value", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))

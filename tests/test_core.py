@@ -138,8 +138,9 @@ def test_verdicts(spark):
 
 def test_search(spark):
     d = spark.createDataFrame([(1, "Mietvertrag Köln"), (2, "Miete und Heizung in koeln Köln"), (3, None), (4, "")], "id long, text string")
-    assert [r.id for r in search.search(d, "id", "text", "miet koln").collect()] == [1, 2]
-    assert search.search(d, "id", "text", "  ").count() == 0
+    index = search.index_of(d, "id", "text", "test_search")
+    assert [r.id for r in search.search(index, "miet koln").collect()] == [1, 2]
+    assert search.index_of(d, "id", "text", "test_search").terms.count() == index.terms.count() == 8
 
 
 def test_reservation_replay(spark):
