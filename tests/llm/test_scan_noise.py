@@ -83,6 +83,19 @@ def test_words_beyond_the_lexicon_are_judged_alike(spark):
     assert whole == few and {("s1", "chars"), ("s2", "chars"), ("s3", "chars"), ("s5", "chars")} <= whole and ("s4", "chars") not in whole
 
 
+def test_the_size_of_the_lexicon_changes_nothing(spark):
+    """Rare words as the tasks do not hold them: places where they are proper, written with a hyphen, split, and chosen by the word before."""
+    lines = ["Das Haus ist modern gebaut."] * 90 + ["Wir liefern das modem morgen."] * 5 + ["Ein Vor-ort Termin.", "Der Bauherr zahlt.", "Die Vcrtrag-Nummer fehlt.", "Der Vertrag endet."] * 3
+    lines += ["Das liegt so fern davon."] * 4 + ["Hier steht die tern davon."] * 3
+    rare = ["Wir liefern das modem morgen.", "Das Haus ist modem gebaut.", "Ein Vor-\nort Termin.", "Der Bau-\nHerr zahlt.", "Die Vcrtrag-Nummer fehlt.", "Der Vcrtrag endet.", "Hier steht die fcrn davon.", "Das liegt so fcrn davon."]
+    p = parts(spark, [BODY * 90 + "\n".join(lines), *rare])
+    found, texts = ({m: {tuple(r) for r in f(p, most=m).collect()} for m in (S.MOST_FORMS, 20, 3, 0)} for f in (S.defects, S.restored))
+    assert {x for x in found[S.MOST_FORMS] if x[0] != "s0"} == {("s2", "chars"), ("s4", "hyphen"), ("s6", "chars"), ("s7", "chars"), ("s8", "chars")}
+    whole = dict(texts[S.MOST_FORMS])
+    assert [whole[f"s{i}"] for i in (1, 2, 6, 7, 8)] == [rare[0], "Das Haus ist modern gebaut.", "Der Vertrag endet.", "Hier steht die tern davon.", "Das liegt so fern davon."]
+    assert all(x == found[S.MOST_FORMS] for x in found.values()) and all(x == texts[S.MOST_FORMS] for x in texts.values())
+
+
 def test_strokes_of_a_column(spark):
     words = ["Rechnung", "modern", "Übung", "WIDERRUF", "ß8B", "häufig", "1|l", ""]
     d = spark.createDataFrame([(w,) for w in words], "w string")
